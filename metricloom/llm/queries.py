@@ -29,8 +29,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_slices import hex16, simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", hex16().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op8_token_counts)}
+    return {f.__name__: f for f in (op1_token_blocks, op8_token_counts, op9_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:
