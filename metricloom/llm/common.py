@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that ends a word: space, tab, newline, vertical tab, form feed, carriage return.
@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def learn_part(doc_id: str, modulus: int) -> F.Column:
+def learn_part(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the split that the held-out rows are told by. A null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
@@ -69,7 +69,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
         have = 1
         while have < n:
             step = min(have, n - have)
-            np.multiply(out[:step], out[have - 1] * base, out=out[have : have + step])
+            np.multiply(out[:step], out[have - 1 : have] * base, out=out[have : have + step])
             have += step
     return out
 
@@ -114,3 +114,51 @@ def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterat
             held = []
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def sampled_labels(labels: DataFrame, docs: DataFrame, label: str, most: int, where: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled documents, chosen by the hash of their ids, texts whole.
+
+    Labels without id or value don't count; of several for one id the largest holds. The ids chosen are at most
+    ``most``, so sending them to all workers is bounded whatever the tables hold.
+    """
+    rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
+    rows = rows.where(where) if where is not None else rows
+    chosen = rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+
+class Adam:
+    """Gradient steps with soft thresholding (L1) after each."""
+
+    def __init__(self, shape, rate: float, l1: float = 0.0):
+        self.m, self.v, self.t, self.rate, self.l1 = np.zeros(shape), np.zeros(shape), 0, rate, l1
+
+    def step(self, x: np.ndarray, grad: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m += 0.1 * (grad - self.m)
+        self.v += 0.01 * (grad * grad - self.v)
+        size = self.rate / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+        x = x - size * self.m / (1 - 0.9**self.t)
+        return np.sign(x) * np.maximum(np.abs(x) - size * self.l1, 0) if self.l1 else x
+
+
+def platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that makes scores into probabilities; Newton steps with a weak prior."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = sigmoid(a * scores + b)
+        w = p * (1 - p) + 1e-9
+        g = np.array([((p - labels) * scores).sum() + 0.01 * (a - 1), (p - labels).sum() + 0.01 * b])
+        h = np.array([[(w * scores * scores).sum() + 0.01, (w * scores).sum()], [(w * scores).sum(), w.sum() + 0.01]])
+        d = np.linalg.solve(h, g)
+        d *= min(1.0, 2.0 / max(1e-9, np.abs(d).max()))
+        a, b = a - d[0], b - d[1]
+        if np.abs(d).max() < 1e-6:
+            break
+    return float(a), float(b)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import learn_part, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +23,22 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lr import quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_mil import score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), where=learn_part("doc_id", 3) != 1)
+    scored = score_documents(docs, model, threshold=0.7)
+    return scored.select("doc_id", (learn_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -36,7 +52,7 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op8_token_counts, op9_simhash_components)}
+    return {f.__name__: f for f in (op1_token_blocks, op3_quality_rules, op5_toxicity, op8_token_counts, op9_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
@@ -56,7 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint_column(text: str = "text", shingle: int = SHINGLE) -> F.Column:
+def fingerprint_column(text: str = "text", shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed bigint."""
 
     def prints(texts):
@@ -273,7 +273,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return _named(docs, doc_id, text, radius, blocks, shingle, bucket_rows).select("doc_id", "fp", "component_id")
 
 
-def hex16(fp: str = "fp") -> F.Column:
+def hex16(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
