@@ -3,49 +3,82 @@
 The pre-tokenizer's pattern never lets a pre-token run on past a non-space character into a space, so a text whose
 white space is single spaces and single newlines between other characters falls apart at each of them: every space
 leads the piece after it, every newline is a token of its own. Texts with any other white space at a piece's edge, or
-with the string of an added token, go whole to the library. Pieces not yet known are encoded by the library too, many
-in one call, separated by newlines.
+with the string of an added token, go whole to the library. A piece not yet known is cut into pre-tokens (by the library,
+but for plain words) and each is given to the library's model once.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from itertools import chain
+import sys
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces in one call of the library.
-CALL = 8192
+#: Below this code point, str.isalpha tells the letters of any Unicode version.
+PLAIN = "ɐ"
+#: Marks that often end a word.
+ENDS = ".,;:!?"
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself where it prints, else the next free from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+
+class _Cache(dict):
+    """Two generations: what was not asked for since the last change of generation is learnt anew."""
+
+    def __init__(self, learn, cap: int):
+        self.learn, self.cap, self.old = learn, max(1, cap // 2), {}
+
+    def __missing__(self, piece: str):
+        value = self.old.get(piece, self)
+        if value is self:
+            value = self.learn(piece)
+        if len(self) >= self.cap:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = value
+        return value
 
 
 class PieceEncoder:
-    """Ids (little-endian unsigned 32-bit) of whole texts. ``cap`` bounds the worker's cache; beyond it the cache starts anew
-    from the frequent pieces."""
+    """Ids (little-endian unsigned 32-bit) of whole texts, or their number. ``frequent`` pieces are known from the start;
+    ``cap`` bounds what the worker keeps besides."""
 
-    def __init__(self, path: str, frequent: tuple[str, ...] = (), cap: int = 500_000, lengths_only: bool = False):
+    def __init__(self, path: str, frequent: tuple[str, ...] = (), cap: int = 300_000, lengths_only: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.by_piece = (
-            pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-            and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and len(newline) == 1
+            pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model.get("type") == "BPE"
+            and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and not model.get("dropout") and len(newline) == 1
         )
-        self.newline = newline[0] if newline else -1
         self.lengths_only, self.cap = lengths_only, cap
-        self.head = 1 if lengths_only else np.array(newline, "<u4").tobytes()
-        self.cache: dict = {}
-        self.frequent: dict = {}
+        self.newline = 1 if lengths_only else np.array(newline, "<u4").tobytes()
+        self.stand_ins = _byte_alphabet()
+        self.space = self.stand_ins[0x20]
+        self.tokenize, self.cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str if self.by_piece else None
+        self.marks = {c: self._value([c]) for c in ENDS} if self.by_piece else {}
+        self.cache = _Cache(self.learn, cap)
         if self.by_piece and frequent:
-            self._learn(set(frequent))
-            self.frequent = dict(self.cache)
+            self.frequent = {p: self.learn(p) for p in frequent}
+            self.cache = _Cache(lambda p: self.frequent[p] if p in self.frequent else self.learn(p), cap)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -57,52 +90,39 @@ class PieceEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return len(ids) if self.lengths_only else np.array(ids, "<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        """Encodes unknown pieces. One with white space at an edge is kept as None: its text must be encoded whole."""
-        keys, strings = [], []
-        for p in missing:
-            core = p[1:] if p[:1] == "\n" else p
-            if not core or core[0].isspace() or core[-1].isspace():
-                self.cache[p] = None
-            else:
-                keys.append(p)
-                strings.append(core if p[0] == "\n" else " " + p)
-        for a in range(0, len(keys), CALL):
-            some = strings[a : a + CALL]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) != len(some) - 1:  # not a piece-wise tokenizer after all: one by one
-                made = [self._whole(s) for s in some]
-            else:
-                starts, ends = np.concatenate(([0], cuts + 1)).tolist(), np.concatenate((cuts, [len(ids)])).tolist()
-                raw = ids.tobytes()
-                made = [e - s for s, e in zip(starts, ends)] if self.lengths_only else [raw[4 * s : 4 * e] for s, e in zip(starts, ends)]
-            for p, v in zip(keys[a : a + CALL], made):
-                self.cache[p] = self.head + v if p[0] == "\n" else v
+    def _value(self, parts):
+        tokens = [t.id for t in self.tokenize(parts[0])] if len(parts) == 1 else [t.id for p in parts for t in self.tokenize(p)]
+        return len(tokens) if self.lengths_only else _raw(tokens)
+
+    def learn(self, piece: str):
+        """A piece's ids or their number; None if white space stands at its edge: its text must be encoded whole."""
+        if piece.isalpha():  # one pre-token
+            if piece.isascii():
+                return self._value((self.space + piece,))
+            if max(piece) < PLAIN:
+                return self._value((self.space + piece.encode().decode("latin-1").translate(self.stand_ins),))
+        if piece[-1:] in self.marks and piece[:-1].isalpha() and max(piece) < PLAIN:  # a letter never joins the mark after it
+            return self.cache[piece[:-1]] + self.marks[piece[-1]]
+        after_newline = piece[:1] == "\n"
+        core = piece[1:] if after_newline else piece
+        if not core or core[0].isspace() or core[-1].isspace():
+            return None
+        value = self._value([p for p, _ in self.cut(core if after_newline else " " + piece)])
+        return self.newline + value if after_newline else value
 
     def encode(self, texts: list[str]) -> list:
         """Of each text the ids as bytes, or their number."""
-        empty = 0 if self.lengths_only else b""
-        if not self.by_piece:
-            return [self._whole(t) if t else empty for t in texts]
-        split = [None if not t or any(a in t for a in self.added) else self.pieces(t) for t in texts]
-        missing = set(chain.from_iterable(s for s in split if s)).difference(self.cache)
-        if len(self.cache) + len(missing) > self.cap:
-            self.cache = dict(self.frequent)
-            missing = set(chain.from_iterable(s for s in split if s)).difference(self.cache)
-        self._learn(missing)
         out, get = [], self.cache.__getitem__
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self._whole(t) if t else empty)
-                continue
-            try:
-                if self.lengths_only:
-                    out.append(sum(map(get, s)) - 1)
-                else:
-                    out.append(b"".join(map(get, s))[4:])
-            except TypeError:  # a None: white space at a piece's edge
+        for t in texts:
+            if not t:
+                out.append(0 if self.lengths_only else b"")
+            elif not self.by_piece or any(a in t for a in self.added):
                 out.append(self._whole(t))
+            else:
+                try:
+                    out.append(sum(map(get, self.pieces(t))) - 1 if self.lengths_only else b"".join(map(get, self.pieces(t)))[4:])
+                except TypeError:  # a None: white space at a piece's edge
+                    out.append(self._whole(t))
         return out
 
 

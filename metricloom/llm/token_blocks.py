@@ -98,11 +98,15 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
         if not w:
             continue
         rows = first + np.flatnonzero(widths[first:last] == w)
-        kind, bits = ("<u2", 16) if w <= 16 else ("<u4", 32)
-        packed = body[index["bits"][rows].astype(np.int64)[:, None] + np.arange(int(sizes[rows[0]]))]
-        wide = np.zeros((len(rows), block, bits), np.uint8)
-        wide[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little")[:, : block * w].reshape(len(rows), block, w)
-        delta[rows - first] = np.packbits(wide, axis=2, bitorder="little").reshape(len(rows), -1).view(kind)
+        size = int(sizes[rows[0]])
+        packed = np.zeros((len(rows), size + 5), np.uint8)  # room to read past the last byte
+        packed[:, :size] = body[index["bits"][rows].astype(np.int64)[:, None] + np.arange(size)]
+        at = np.arange(block) * int(w)
+        kind = np.uint32 if w <= 25 else np.uint64
+        value = packed[:, at >> 3].astype(kind)
+        for k in range(1, (int(w) + 14) // 8):
+            value |= packed[:, (at >> 3) + k].astype(kind) << kind(8 * k)
+        delta[rows - first] = (value >> (at & 7).astype(kind)) & kind((1 << int(w)) - 1)
     bounds = np.append(index["exceptions"].astype(np.int64), exceptions)
     lo, hi = bounds[first], bounds[last]
     owner = np.repeat(np.arange(last - first), np.diff(bounds[first : last + 1]))
