@@ -30,6 +30,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfair_mix import pfair_slots
+
+    return pfair_slots(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity_mil import score_documents, train
 
@@ -51,9 +57,17 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", hex16().alias("fingerprint"), "component_id")
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .template_decontam import contaminated_pairs
+
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op3_quality_rules, op5_toxicity, op8_token_counts, op9_simhash_components)}
+    return {f.__name__: f for f in (op1_token_blocks, op3_quality_rules, op4_pfair_mix, op5_toxicity, op8_token_counts, op9_simhash_components, op10_template_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import pfair_mix
+
+    return {"op4_pfair_mix": pfair_mix.SQL}
