@@ -53,6 +53,12 @@ def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (learn_part("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_markov import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -72,7 +78,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op3_quality_rules, op4_pfair_mix, op5_toxicity, op6_language_crf, op8_token_counts, op9_simhash_components, op10_template_decontamination)}
+    return {f.__name__: f for f in (op1_token_blocks, op3_quality_rules, op4_pfair_mix, op5_toxicity, op6_language_crf, op7_url_filters, op8_token_counts, op9_simhash_components, op10_template_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
