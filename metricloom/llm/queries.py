@@ -23,6 +23,12 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_forest import scan, seed_findings, train
+
+    return scan(table(spark, sf_dir, "documents"), train(seed_findings(spark)))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_lr import quality, train
 
@@ -78,7 +84,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_blocks, op3_quality_rules, op4_pfair_mix, op5_toxicity, op6_language_crf, op7_url_filters, op8_token_counts, op9_simhash_components, op10_template_decontamination)}
+    return {f.__name__: f for f in (op1_token_blocks, op2_secret_scan, op3_quality_rules, op4_pfair_mix, op5_toxicity, op6_language_crf, op7_url_filters, op8_token_counts, op9_simhash_components, op10_template_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
