@@ -1,0 +1 @@
+"""No streaming operators: models describe tables, and results are batches. The package keeps the place."""
