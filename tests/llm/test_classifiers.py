@@ -1,0 +1,246 @@
+import collections
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("metricloom.llm")
+from pyspark.sql import functions as F  # noqa: E402
+
+from metricloom.llm import common, language_crf, quality_lr, secret_forest, toxicity_mil, url_markov  # noqa: E402
+from metricloom.llm.queries import queries  # noqa: E402
+
+LONG = "word " * 25_000
+ODD = [(1, None, "x"), (2, "", "x"), (3, " \t\n", None), (None, "no id here at all", "y"), (4, "twice the same row", "z"), (4, "twice the same row", "z"), (5, LONG, "z"), (6, "日本語 ـــ ١٢٣", "z")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, and extra columns whose names clash with what operators make."""
+    return spark.createDataFrame(ODD, "doc_id long, text string, source string").selectExpr("*", "doc_id AS score", "text AS word", "source AS path", "1 AS probability", "doc_id AS label", "text AS h")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    sf = "/root/testdata/sf0.01"
+    return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_span_hashes_depend_on_the_span_alone():
+    data = np.frombuffer(b"abc abc xabc bcab ", np.uint8)
+    a, b = common.word_spans(data)
+    h = common.span_hashes(data, a, b)
+    assert h[0] == h[1] and len(set(h.tolist())) == 3
+    assert common.span_hashes(data, np.array([0, 9]), np.array([3, 12]))[0] == common.span_hashes(data, np.array([9]), np.array([12]))[0]
+
+
+def slow_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times, cover, seen, dup = collections.Counter(windows), set(), set(), 0
+    for i, w in enumerate(windows):
+        if times[w] > 1:
+            cover.update(range(i, i + 5))
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(cover), len(words) < 10 or 100 * len(cover) > 20 * len(words)
+
+
+def test_quality_counts():
+    texts = ["", " ", "a b c d e a b c d e", "a\na\n \n \nb", "x# *y $%&|<>", "ä ö\x0bü", "a a a a a a", "a b c d e f a b c d e", "one\r\none\r\n", "w " * 4, "w " * 5, "w " * 6]
+    lot = quality_lr.Lot.of(texts)
+    got = lot.counts(texts)
+    failed = quality_lr.base_failed(got)
+    for k, t in enumerate(texts):
+        assert (*(int(got[c][k]) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), bool(failed[k])) == slow_counts(t), t
+
+
+def test_quality_query_and_verdicts(spark, tables):
+    docs, labels = tables
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = queries()["op3_quality_rules"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r[1:7]) == slow_counts(texts[r.doc_id])
+        assert not (r.base_failed and r.kept)
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    right = [r.kept == bool(truth[r.doc_id]) for r in rows if r.doc_id in truth]
+    assert np.mean(right) > 0.95
+
+
+def test_quality_edges(spark, odd, tables):
+    docs, labels = tables
+    none = quality_lr.train(docs, labels.limit(0))
+    got = quality_lr.quality(odd, none).collect()
+    assert len(got) == len(ODD) and {r.doc_id: r.base_failed for r in got}[1] is True and none.probability(quality_lr.Lot.of(["x y z"]))[0] > 0.9
+    assert quality_lr.quality(odd.limit(0), none).collect() == []
+    one = quality_lr.train(docs, labels.withColumn("quality", F.lit(1)))
+    assert one.probability(quality_lr.Lot.of([""]))[0] > 0.9
+
+
+def test_quality_does_not_depend_on_the_batch(tables):
+    docs, labels = tables
+    model = quality_lr.train(docs, labels)
+    texts = [r.text for r in docs.limit(40).collect()]
+    together = model.probability(quality_lr.Lot.of(texts))
+    assert np.allclose(together, [model.probability(quality_lr.Lot.of([t]))[0] for t in texts])
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = queries()["op5_toxicity"](spark, sf).collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in rows)
+    held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    hits, found, there = sum(p and t for p, t in held), sum(p for p, _ in held), sum(t for _, t in held)
+    assert hits / found > 0.9 and hits / there > 0.75
+
+
+def test_toxicity_finds_the_sentence(spark, odd, tables):
+    docs, labels = tables
+    text = "Éa fine day. You are an idiot and a moron, stupid clown! Nothing else here."
+    extra = spark.createDataFrame([(10_000 + k, f"Good start of day {k}. Such an idiot and moron, stupid clown! The end.") for k in range(60)], "doc_id long, text string")
+    more = spark.createDataFrame([(10_000 + k, 1, 1) for k in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity_mil.train(docs.select("doc_id", "text").union(extra), labels.select("doc_id", "quality", "toxic").union(more))
+    assert model.scores([text])[0] >= 0.7 and model.scores(["Nothing else here.", ""])[1] == 0
+    (start, end, p), *rest = model.offending([text])[0]
+    assert not rest and text[start:end].strip() == "You are an idiot and a moron, stupid clown!" and p >= 0.5
+    found = toxicity_mil.offending_sentences(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), model).collect()
+    assert [(r.doc_id, r.sentence.strip()) for r in found] == [(1, "You are an idiot and a moron, stupid clown!")]
+    got = toxicity_mil.score_documents(odd, model).collect()
+    assert len(got) == len(ODD) and {r.doc_id: r.score for r in got}[1] == 0
+    assert toxicity_mil.score_documents(odd.limit(0), model).collect() == []
+    together = model.scores([text, "", LONG, text])
+    assert np.allclose(together, [model.scores([t])[0] for t in (text, "", LONG, text)])
+
+
+def test_toxicity_without_labels(tables):
+    docs, labels = tables
+    assert toxicity_mil.train(docs, labels.limit(0)).scores(["any thing"])[0] < 0.1
+    assert toxicity_mil.train(docs, labels.withColumn("toxic", F.lit(0))).scores(["any thing"])[0] < 0.1
+
+
+def slow_marginals(emission, transition):
+    n, k = emission.shape
+    e, move = np.exp(emission), np.exp(transition)
+    a, b = np.zeros((n, k)), np.ones((n, k))
+    a[0] = move.sum(axis=0) * e[0]
+    for t in range(1, n):
+        a[t] = (a[t - 1] @ move) * e[t]
+        a[t] /= a[t].sum()
+    for t in range(n - 2, -1, -1):
+        b[t] = move @ (e[t + 1] * b[t + 1])
+        b[t] /= b[t].sum()
+    return a * b / (a * b).sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 200])
+def test_marginals(n):
+    rng = np.random.default_rng(n)
+    emission, transition, doc = rng.normal(size=(n, 4)) * 3, rng.normal(size=(4, 4)), np.sort(rng.integers(0, 3, n))
+    got = language_crf.marginals(emission, doc, transition)
+    for d in np.unique(doc):
+        assert np.allclose(got[doc == d], slow_marginals(emission[doc == d], transition))
+
+
+def test_languages_held_out(spark, tables):
+    docs, _ = tables
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    rows = queries()["op6_language_crf"](spark, "/root/testdata/sf0.01").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.97
+
+
+def test_languages_edges(spark, odd, tables):
+    docs, _ = tables
+    model = language_crf.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_crf.predict_languages(odd, model).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[6][0] != "und" and got[4][0] in model.labels
+    assert language_crf.predict_languages(odd, model).count() == len(ODD)
+    assert language_crf.predict_languages(odd.limit(0), model).collect() == []
+    assert language_crf.LanguageModel((), np.zeros((0, 1)), np.zeros((0, 0))).predict(["a"]) == (["und"], np.zeros(1))
+    english, german = (docs.where(F.col("lang") == x).first().text.split()[:25] for x in ("en", "de"))
+    words = model.label_words(" ".join(english + german))
+    assert np.mean([w[2] == "en" for w in words[:20]]) > 0.9 and np.mean([w[2] == "de" for w in words[-20:]]) > 0.9
+    alone = language_crf.train(docs.where("lang = 'en'"))
+    assert alone.labels == ("en",)
+    assert language_crf.train(docs.limit(0)).labels == ()
+
+
+def slow_rule(url):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :]).group()
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in url_markov.RULES if (host == r[1] or host.endswith(f".{r[1]}")) and path.startswith(r[2])]
+    return host, path, max(fits, key=lambda r: len(r[1]) + len(r[2]), default=None)
+
+
+def test_urls(spark):
+    sf = "/root/testdata/sf0.1"
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()}
+    rows = queries()["op7_url_filters"](spark, sf).collect()
+    assert len(rows) == len(urls)
+    agree = []
+    for r in rows:
+        host, path, rule = slow_rule(urls[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule[1] + rule[2])
+        if rule:
+            assert r.verdict == rule[0]
+            agree.append((r.score > 0.5) == (rule[0] == "block"))
+        else:
+            assert r.verdict == ("block" if r.score > 0.5 else "allow")
+    assert np.mean(agree) > 0.97  # the models also tell what the rules decide
+
+
+def test_url_edges(spark):
+    rows = [(1, None), (2, ""), (3, "foo"), (None, "HTTP://A.COM/EN/"), (5, "x://a.COM/en/?q"), (5, "x://a.COM/en/?q"), (6, "x://com/en/"), (7, "://"), (8, "x://notcom/en/"), (9, "x://example.com/en/7"), (10, "x://a\nb.com/en/\nc#d"), (11, "x://é.net/de/" + "a" * 100_000), (12, "x://a.com?/en/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "url AS host", "url AS verdict", "page_id AS hit")
+    got = sorted(((r.page_id, r.host, r.path, r.rule) for r in url_markov.filter_urls(pages).collect()), key=str)
+    want = [(i, h, p, r and r[1] + r[2]) for i, u in rows for h, p, r in [slow_rule(u)]]
+    assert got == sorted(want, key=str)
+    assert url_markov.filter_urls(pages.limit(0)).collect() == []
+
+
+def test_markov_probabilities_add_up():
+    rng = np.random.default_rng(0)
+    model = url_markov.MarkovModel((rng.random(url_markov._SHAPE) < 0.05).astype(np.float32) * 3)
+    p = np.full(url_markov.SYMBOLS, 1 / url_markov.SYMBOLS)
+    for order in range(url_markov.ORDERS):
+        n, kinds = model.seen[order, 0], max(1, model.kinds[order, 0])
+        p = (model.counts[order, 0] + kinds * p) / (n + kinds)
+    assert abs(p.sum() - 1) < 1e-5
+
+
+def test_secrets(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries()["op2_secret_scan"](spark, sf).collect()
+    want = sorted((d, i, p, c) for d, t in docs.items() for i, w in enumerate(re.split(r"[ \t\n\x0b\f\r]+", t)) for p, c in enumerate(re.findall(r"[A-Za-z0-9+/_=\-]{16,}", w)))
+    assert sorted((r.doc_id, r.word_no, r.part, r.candidate) for r in rows) == want
+    planted = {(d, m) for d, t in docs.items() for m in re.findall(r'token = "([0-9a-f]{40})"', t)}
+    kept = {(r.doc_id, r.candidate) for r in rows if r.is_secret}
+    assert planted and planted <= kept and len(kept) <= 1.15 * len(planted)
+
+
+def test_secret_edges(spark, odd):
+    model = secret_forest.train(secret_forest.seed_findings(spark))
+    assert secret_forest.scan(odd, model).collect() == [] == secret_forest.scan(odd.limit(0), model).collect()
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = [(1, f'api_key = "{key}"', None), (1, f'api_key = "{key}"', None), (None, f"token: {key}", "src"), (2, f"commit {key} fixed it", "src"), (3, 'password = "xxxxxxxxxxxxxxxxxxxx"', "src"), (4, f'token = "{key}"', "tests/fixtures/a"), (5, f"{key},{key}", "src")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "text AS candidate", "doc_id AS score", "doc_id AS features")
+    got = collections.Counter((r.doc_id, r.is_secret) for r in secret_forest.scan(docs, model).collect())
+    assert got[1, True] == 2 and got[None, True] == 1 and got[2, False] == 1 and got[3, False] == 1 and got[4, False] == 1 and got[5, True] + got[5, False] == 2
+    assert secret_forest.scan(docs, model, path=None).count() == 8
+
+
+def test_sample_is_bounded_and_whole(spark):
+    docs = spark.createDataFrame([(k % 10, "t" * k) for k in range(20)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
+    got = common.sampled_labels(labels, docs, "toxic", 4).collect()
+    assert len({r.doc_id for r in got}) == 4 and len(got) == 8 and all(r.label == r.doc_id % 2 for r in got)
