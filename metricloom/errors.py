@@ -1,15 +1,19 @@
-"""Errors by class. ``status`` is what an HTTP surface answers: 400 for the caller's mistakes, 500 for the configuration's."""
+"""Errors by class. ``status`` is what an HTTP surface answers: 400 for the caller's mistakes, 500 for the configuration's.
+``sqlstate`` is what a SQL surface answers: 42000 for what can't be compiled, 22000 for bad JSON, XX000 for the rest."""
 
 from __future__ import annotations
 
 
 class MetricloomError(Exception):
     status = 500
+    sqlstate = "42000"
 
 
 class StateError(MetricloomError):
     """A model can't be loaded."""
 
+    sqlstate = "XX000"
+
 
 class YamlError(StateError):
     """Not YAML, or a required key is missing or has the wrong shape."""
@@ -53,6 +57,8 @@ class RequestMappingError(CallerError):
 class BadRequestJson(CallerError):
     """A SEMANTIC text whose JSON can't be read."""
 
+    sqlstate = "22000"
+
 
 class MetricResolutionError(CallerError):
     pass
@@ -136,3 +142,5 @@ class DialectError(MetricloomError):
 
 class SourceError(MetricloomError):
     """A table has no source."""
+
+    sqlstate = "XX000"

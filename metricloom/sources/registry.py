@@ -33,6 +33,10 @@ class SourceRegistry:
         """A table of a database that has a JDBC driver on the class path; filters and columns are pushed down by Spark."""
         return self.register(table, lambda: self.spark.read.format("jdbc").options(url=url, dbtable=dbtable or table, **options).load())
 
+    def connector(self, table: str, kind: str, **options: str) -> SourceRegistry:
+        """A table behind any data source that the session has, such as a warehouse's connector package."""
+        return self.register(table, lambda: self.spark.read.format(kind).options(**options).load())
+
     def names(self) -> list[str]:
         return list(self._readers)
 

@@ -176,12 +176,33 @@ def test_service_surface(spark):
     assert e.execute("select version()").columns == ["version"] and e.execute("SELECT 1;").collect()[0][0] == 1
     assert e.execute("SELECT count(*) AS n FROM orders;").collect()[0].n == 6
     assert rows(e.execute('SEMANTIC {"metric_name": "plain", "dimensions": ["order_status"]}')) == [("a", 42.0), ("b", 12.0)]
-    with pytest.raises(E.BadRequestJson):
+    with pytest.raises(E.BadRequestJson) as bad:
         e.execute("SEMANTIC {")
+    assert bad.value.sqlstate == "22000" and E.MetricNotFound("x").sqlstate == "42000"
     out = e.rest({"metrics": ["plain"], "dimensions": ["order_status"], "limit": 1}, "postgres")
     assert out["columns"] == ["order_status", "plain"] and out["row_count"] == 1 and out["sql"].endswith("LIMIT 1")
 
 
+def test_sources(spark, sf, tmp_path):
+    from metricloom.sources import SourceRegistry
+
+    s = SourceRegistry(spark).connector("areas", "parquet", path=f"{sf}/region.parquet").parquet_dir(sf, "nation").jdbc("far", "jdbc:postgresql://nowhere/db")
+    assert s.names() == ["areas", "nation", "far"] and s.table("public.areas").count() == s.table("areas").count() == 5
+    s.table("nation").createOrReplaceTempView("in_catalog")
+    assert s.table("in_catalog").count() == 25
+    with pytest.raises(E.SourceError) as none:
+        s.table("gone")
+    assert none.value.sqlstate == "XX000" and none.value.status == 500
+
+
+def test_paging_puts_nulls_as_postgres_does(spark):
+    from metricloom.operators import Query
+
+    df = spark.createDataFrame([(1,), (None,), (3,), (2,)], "a int")
+    page = lambda *keys, **k: [r.a for r in Query.of(df).with_pagination(keys, **k).frame().collect()]
+    assert page("a") == [1, 2, 3, None] and page(("a", "desc")) == [None, 3, 2, 1] and page("a", limit=2, offset=1) == [2, 3] and page("a", limit=0) == []
+
+
 def test_text_rows(spark):
     df = spark.createDataFrame([(1, None, True, bytearray(b"x"), 1.5), (None, "a", None, None, None)], "a int, b string, c boolean, d binary, e double")
     assert [tuple(r) for r in to_text_rows(df).collect()] == [("1", "NULL", "true", "<bytes>", "1.5"), ("NULL", "a", "NULL", "NULL", "NULL")]
