@@ -11,17 +11,28 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import sys
 from array import array
+from collections.abc import Iterable
+from itertools import accumulate, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Below this code point, str.isalpha tells the letters of any Unicode version.
 PLAIN = "ɐ"
-#: Marks that often end a word.
-ENDS = ".,;:!?"
+#: ASCII characters that are neither letters nor digits nor white space.
+MARKS = string.punctuation
+#: Runs of marks that a worker remembers.
+MOST_MARKS = 20_000
+#: Bytes of text that are cut up at once, or one text.
+LOT = 8 << 20
+#: Pieces that a resting worker keeps.
+REST = 200_000
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -35,28 +46,26 @@ def _raw(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
-class _Cache(dict):
-    """Two generations: what was not asked for since the last change of generation is learnt anew."""
+def split(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Pieces of texts without nulls: for each its place among the distinct ones, these, and where each text's begin.
 
-    def __init__(self, learn, cap: int):
-        self.learn, self.cap, self.old = learn, max(1, cap // 2), {}
-
-    def __missing__(self, piece: str):
-        value = self.old.get(piece, self)
-        if value is self:
-            value = self.learn(piece)
-        if len(self) >= self.cap:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = value
-        return value
+    A piece stands for a space and itself; one that begins with a newline stands for itself. Each text's first is given a
+    newline that the text hasn't.
+    """
+    spaced = pc.replace_substring(pc.binary_join_element_wise("\n", column, ""), "\n", " \n")
+    lists = pc.split_pattern(spaced, " ")
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    inner = np.ones(len(coded), bool)
+    inner[bounds[:-1] - bounds[0]] = False  # the empty string before the first space
+    return coded.indices.to_numpy()[inner], coded.dictionary, bounds - bounds[0] - np.arange(len(bounds))
 
 
 class PieceEncoder:
     """Ids (little-endian unsigned 32-bit) of whole texts, or their number. ``frequent`` pieces are known from the start;
     ``cap`` bounds what the worker keeps besides."""
 
-    def __init__(self, path: str, frequent: tuple[str, ...] = (), cap: int = 300_000, lengths_only: bool = False):
+    def __init__(self, path: str, frequent: tuple[str, ...] = (), cap: int = 600_000, lengths_only: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,55 +83,112 @@ class PieceEncoder:
         self.stand_ins = _byte_alphabet()
         self.space = self.stand_ins[0x20]
         self.tokenize, self.cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str if self.by_piece else None
-        self.marks = {c: self._value([c]) for c in ENDS} if self.by_piece else {}
-        self.cache = _Cache(self.learn, cap)
-        if self.by_piece and frequent:
-            self.frequent = {p: self.learn(p) for p in frequent}
-            self.cache = _Cache(lambda p: self.frequent[p] if p in self.frequent else self.learn(p), cap)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Each piece stands for a space and itself; those that begin with a newline stand for themselves. The first is
-        given a newline that the text hasn't."""
-        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
+        self.cache: dict = {}
+        self.marks: dict = {}
+        self.frequent = self._learnt(list(frequent)) if self.by_piece else {}
+        self.cache = dict(self.frequent)
 
     def _whole(self, text: str):
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return len(ids) if self.lengths_only else np.array(ids, "<u4").tobytes()
 
-    def _value(self, parts):
-        tokens = [t.id for t in self.tokenize(parts[0])] if len(parts) == 1 else [t.id for p in parts for t in self.tokenize(p)]
-        return len(tokens) if self.lengths_only else _raw(tokens)
-
-    def learn(self, piece: str):
-        """A piece's ids or their number; None if white space stands at its edge: its text must be encoded whole."""
-        if piece.isalpha():  # one pre-token
-            if piece.isascii():
-                return self._value((self.space + piece,))
-            if max(piece) < PLAIN:
-                return self._value((self.space + piece.encode().decode("latin-1").translate(self.stand_ins),))
-        if piece[-1:] in self.marks and piece[:-1].isalpha() and max(piece) < PLAIN:  # a letter never joins the mark after it
-            return self.cache[piece[:-1]] + self.marks[piece[-1]]
-        after_newline = piece[:1] == "\n"
-        core = piece[1:] if after_newline else piece
-        if not core or core[0].isspace() or core[-1].isspace():
-            return None
-        value = self._value([p for p, _ in self.cut(core if after_newline else " " + piece)])
-        return self.newline + value if after_newline else value
-
-    def encode(self, texts: list[str]) -> list:
-        """Of each text the ids as bytes, or their number."""
-        out, get = [], self.cache.__getitem__
-        for t in texts:
-            if not t:
-                out.append(0 if self.lengths_only else b"")
-            elif not self.by_piece or any(a in t for a in self.added):
-                out.append(self._whole(t))
+    def _values(self, words: Iterable[list[str]]) -> list:
+        """Ids or number of ids of words, each given as its pre-tokens."""
+        tokenize = self.tokenize
+        made = [tokenize(w[0]) if len(w) == 1 else [t for p in w for t in tokenize(p)] for w in words]
+        sizes = list(map(len, made))
+        if self.lengths_only:
+            return sizes
+        raw = _raw([t.id for m in made for t in m])
+        ends = list(accumulate(4 * n for n in sizes))
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learnt(self, missing: list[str]) -> dict:
+        """Values of unknown pieces; None if white space stands at the piece's edge: its text must be encoded whole."""
+        known, marks, new = self.cache, self.marks, {}
+        plain, marked, other = [], [], []
+        for p in missing:
+            if p.isalpha():
+                plain.append(p)
+                continue
+            body = p.rstrip(MARKS)
+            if body.isalpha() or body[:1] == "\n" and body[1:].isalpha():  # a letter never joins the marks after it, and these are one pre-token
+                marked.append((p, body, p[len(body) :]))
             else:
-                try:
-                    out.append(sum(map(get, self.pieces(t))) - 1 if self.lengths_only else b"".join(map(get, self.pieces(t)))[4:])
-                except TypeError:  # a None: white space at a piece's edge
-                    out.append(self._whole(t))
+                core = p[1:] if p[:1] == "\n" else p
+                if not core or core[0].isspace() or core[-1].isspace():
+                    new[p] = None
+                else:
+                    other.append(p)
+        words = [*plain, *{b for _, b, _ in marked if b not in known}.difference(plain)]
+        exotic = [p for p in words if not p.isascii() and max(p) >= PLAIN]
+        if exotic:
+            words, other = [p for p in words if p.isascii() or max(p) < PLAIN], other + exotic
+        led, space, stand_ins = {}, self.space, self.stand_ins
+        for p in words:  # one pre-token each
+            w = p[1:] if p[0] == "\n" else space + p
+            led[p] = [w if p.isascii() else (p[1:] if p[0] == "\n" else " " + p).encode().decode("latin-1").translate(stand_ins)]
+        for p in other:
+            led[p] = [x for x, _ in self.cut(p[1:] if p[0] == "\n" else " " + p)]
+        newline = self.newline
+        new.update((p, newline + v if p[0] == "\n" else v) for p, v in zip(led, self._values(led.values())))
+        if ends := list({e for _, _, e in marked if e not in marks}):
+            marks.update(zip(ends, self._values([[e] for e in ends])))
+            if len(marks) > MOST_MARKS:
+                self.marks = {}
+        for p, body, end in marked:
+            if end:
+                new[p] = (new[body] if body in new else known[body]) + marks[end]
+        return new
+
+    def lookup(self, distinct: list[str]) -> list:
+        """Values of distinct pieces. Beyond the cap the cache goes back to the first pieces learnt, mostly the frequent ones."""
+        new = self._learnt([p for p in distinct if p not in self.cache])
+        if len(self.cache) + len(new) > self.cap:
+            asked = {p: self.cache[p] for p in distinct if p in self.cache}
+            self.rest()
+            self.cache.update(asked)
+        self.cache.update(new)
+        return list(map(self.cache.__getitem__, distinct))
+
+    def rest(self, keep: int = REST) -> None:
+        """At a task's end: an idle worker holds little."""
+        self.cache = dict(islice(self.cache.items(), max(min(keep, self.cap), len(self.frequent))))
+
+    def encode(self, texts: list[str] | pa.Array) -> list:
+        """Of each text the ids as bytes, or their number; null as empty."""
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())), "")
+        out, start, size = [], 0, 0
+        for row, n in enumerate(pc.binary_length(column).to_pylist()):
+            size += n
+            if size >= LOT:
+                out += self._encode(column[start : row + 1])
+                start, size = row + 1, 0
+        return out + self._encode(column[start:]) if start < len(column) else out
+
+    def _encode(self, column: pa.Array) -> list:
+        if not self.by_piece:
+            return [self._whole(t) if t else (0 if self.lengths_only else b"") for t in column.to_pylist()]
+        codes, distinct, bounds = split(column)
+        values = self.lookup(distinct.to_pylist())
+        bad = np.array([v is None for v in values], bool)
+        # a None is white space at a piece's edge
+        whole = np.logical_or.reduceat(bad[codes], bounds[:-1])
+        for a in self.added:
+            whole |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
+        if self.lengths_only:
+            counts = np.add.reduceat(np.array([v or 0 for v in values], np.int64)[codes], bounds[:-1]) - 1
+            out = counts.tolist()
+        else:
+            joined = pa.array([v or b"" for v in values], pa.binary()).take(pa.array(codes))
+            at = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[bounds].tolist()
+            raw = memoryview(joined.buffers()[2] or b"")
+            out = [bytes(raw[a + 4 : b]) for a, b in zip(at, at[1:])]
+        for d in np.flatnonzero(whole).tolist():
+            out[d] = self._whole(column[d].as_py())
+        empty = pc.equal(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for d in np.flatnonzero(empty).tolist():
+            out[d] = 0 if self.lengths_only else b""
         return out
 
 

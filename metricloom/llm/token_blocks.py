@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, texts_of
+from .common import shared_path, small_batches
 from .pieces import encoder
 
 MAGIC = 0x50464F52
 BLOCK = 256
 SEGMENT_IDS = 1 << 16
+#: Documents that a worker is handed at once.
+BATCH = 2048
 #: Share of a block's ids that the packed width covers; the others are exceptions.
 COVERED = 0.95
 
@@ -132,7 +134,7 @@ def write_token_blocks(
     repeated rows each get their ids and identical rows are interchangeable. Empty input: a table without rows. Other
     columns are not read. A document is never split over segments, so a worker holds a segment and a document.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     keys = [f"__k{i}" for i in range(len(order or [doc_id]))]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(order or [doc_id], keys)))
     by = [*(F.col(k).asc_nulls_first() for k in keys), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -147,7 +149,7 @@ def write_token_blocks(
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((shard, segment, first, names, lengths, size, payload), _SEGMENTS)], schema=_SEGMENTS)
 
         for batch in batches:
-            for name, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(texts_of(batch))):
+            for name, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
                 ids += (raw, end)
                 names.append(name)
                 lengths.append(len(raw) // 4 + 1)
@@ -157,6 +159,7 @@ def write_token_blocks(
                     segment, first, ids, names, lengths, size = segment + 1, first + size, [], [], [], 0
         if names:
             yield close()
+        enc.rest()
 
     ordered.mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path)
 
@@ -178,7 +181,6 @@ def read_token_blocks(spark, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), lengths)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), pa.array(names, pa.int64()), pa.array(at + first), pa.array(n), pa.array(crc, pa.int64())], schema=out)
 
-    small_batches(spark)
     docs = files.select("shard", "first_id", "doc_ids", "doc_lengths", "payload").mapInArrow(decode, "shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint")
     return docs.join(F.broadcast(before), "shard").select("doc_id", (F.col("at") + F.col("__before")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -188,4 +190,5 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, order: list[str]
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-blocks")
     write_token_blocks(docs, path, tokenizer, end_id, order, **options)
+    small_batches(spark, 64)  # a row read back is a whole segment
     return read_token_blocks(spark, path)

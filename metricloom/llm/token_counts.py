@@ -11,13 +11,15 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
-from .pieces import PieceEncoder, encoder
+from .common import small_batches
+from .pieces import encoder, split
 
 #: Entries of the broadcast table; at some 30 bytes each it stays below 1 MB.
 FREQUENT = 20_000
@@ -41,8 +43,10 @@ def frequent_pieces(docs: DataFrame, text: str = "text", keep: int = FREQUENT) -
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for t in texts_of(batch):
-                counts.update(PieceEncoder.pieces(t))
+            column = pc.fill_null(batch.column("text"), "")
+            if len(column):
+                codes, distinct, _ = split(column)
+                counts.update(dict(zip(distinct.to_pylist(), np.bincount(codes, minlength=len(distinct)).tolist())))
             if len(counts) > 8 * keep:
                 counts = _pruned(counts, 2 * keep)
         yield pa.RecordBatch.from_pydict({"summary": [pickle.dumps(dict(_pruned(Counter({k: v for k, v in counts.items() if len(k) <= LONGEST}), keep)))]})
@@ -70,8 +74,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
     Null text: empty, no token. Repeated rows: a row each. Null ids are kept. Empty input: no row. Other columns are
     not read. A sentencepiece ``.model`` is counted by its own library, text by text.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession, 2048)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     count = _piece_counter(rows, tokenizer, keep) if not tokenizer.endswith(".model") else _sentencepiece_counter(tokenizer)
     counted = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.pandas_udf(count, "bigint")("text").alias("n_tokens"))
@@ -83,7 +86,7 @@ def _piece_counter(rows: DataFrame, tokenizer: str, keep: int):
 
     def count(texts: pd.Series) -> pd.Series:
         enc = encoder(tokenizer, tier.value, key=key, lengths_only=True)
-        return pd.Series(enc.encode(texts.tolist()), dtype="int64")
+        return pd.Series(enc.encode(pa.Array.from_pandas(texts, type=pa.string())), dtype="int64")
 
     return count
 
