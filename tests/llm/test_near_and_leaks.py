@@ -89,6 +89,36 @@ def test_simhash_edges(spark):
     assert S.simhash_components(docs.limit(0)).collect() == [] == S.one_of_each(docs.limit(0)).collect()
 
 
+def test_lanes():
+    text = "a b c d e f g h"
+    assert int(S.fingerprint_lanes(text, 4, 3)[0]) == S.fingerprint(text, 4) and len(set(S.fingerprint_lanes(text, 4, 3).tolist())) == 3
+    assert S.fingerprint_lanes("", 5, 4).tolist() == [0] * 4
+
+
+def _jaccard(a, b):
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_wide_links_similar_texts_and_no_others(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows, near = [], []
+    for k in range(60):
+        words = [word() for _ in range(300)]
+        copy = list(words)
+        for at in rng.choice(300, 5, replace=False):
+            copy[at] = word()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        near.append(_jaccard(rows[-2][1], rows[-1][1]) >= 0.8)
+    assert sum(near) > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bucket_rows in (3, 4096):
+        kept = {r.doc_id for r in S.one_of_each(docs, bucket_rows=bucket_rows).collect()}
+        assert {2 * k for k in range(60)} <= kept
+        assert np.mean([2 * k + 1 not in kept for k in range(60) if near[k]]) > 0.9
+
+
 def test_simhash_query(spark, sf):
     docs = sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     prints = np.array([slow_print(t) for _, t in docs], np.uint64)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from metricloom.llm import pfair_mix, toxicity_mil  # noqa: E402
+from metricloom.llm import pfair_mix, simhash_slices, toxicity_mil  # noqa: E402
 from metricloom.llm.common import learn_part  # noqa: E402
 from metricloom.llm.queries import tokenizer_path  # noqa: E402
 from metricloom.llm.template_decontam import Index  # noqa: E402
@@ -42,8 +42,16 @@ def test_stages_against_brute_force(spark, staged):
     assert after == {d: t for d, t in before.items() if model.scores([t])[0] < 0.7}
     ids = sorted(after)
     classes = _classes(np.array([slow_print(after[d]) for d in ids], np.uint64))
-    one = {ids[c] for c in classes}
+    one = set(texts(staged[1]))
     assert texts(staged[1]) == {d: after[d] for d in one}
+    for c in set(classes):  # of each group within four bits one at most stays, and it goes only for a smaller id
+        group = [ids[k] for k, x in enumerate(classes) if x == c]
+        assert one & set(group) <= {min(group)}
+    wide = {d: simhash_slices.fingerprint_lanes(after[d], 5, 4) for d in ids}
+    first = {d: c for d, c in zip(ids, (ids[c] for c in classes))}
+    for d in {ids[c] for c in classes} - one:  # what went beside those is near a text that was there
+        family = [x for x in ids if first[x] == d]
+        assert any(x not in family and int(np.bitwise_count(wide[x] ^ wide[y]).sum()) <= simhash_slices.WIDE_RADIUS for y in family for x in ids)
     index = Index.of([tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()])
     clean = {d: after[d] for d in one if not index.found([after[d]])[0]}
     assert texts(staged[2]) == clean == texts(staged[3])
