@@ -62,7 +62,7 @@ def frequent_pieces(docs: DataFrame, text: str = "text", keep: int = FREQUENT) -
 
     parts = source.mapInArrow(summarise, "summary binary")
     width = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    merged = parts.repartition(width).mapInArrow(merge, "summary binary").coalesce(1).mapInArrow(merge, "summary binary")
+    merged = parts.repartition(width).mapInArrow(merge, "summary binary").repartition(1).mapInArrow(merge, "summary binary")
     found = merged.collect()  # one row of at most ``keep`` entries
     total = Counter(pickle.loads(found[0][0])) if found else Counter()
     return [k for k, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))]
@@ -74,7 +74,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
     Null text: empty, no token. Repeated rows: a row each. Null ids are kept. Empty input: no row. Other columns are
     not read. A sentencepiece ``.model`` is counted by its own library, text by text.
     """
-    small_batches(docs.sparkSession, 2048)
+    small_batches(docs.sparkSession, 2048, "8m")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     count = _piece_counter(rows, tokenizer, keep) if not tokenizer.endswith(".model") else _sentencepiece_counter(tokenizer)
     counted = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.pandas_udf(count, "bigint")("text").alias("n_tokens"))
