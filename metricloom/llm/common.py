@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts: few rows each, so that a worker holds a bounded share of a partition."""
+def small_batches(spark: SparkSession, rows: int = 128, size: str = "2m") -> None:
+    """Arrow batches of whole texts: few rows and few bytes each, so that a worker holds a bounded share of a partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

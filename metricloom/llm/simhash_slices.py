@@ -317,7 +317,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     small_batches(docs.sparkSession)
     keyed = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")
     prints = keyed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches(docs.sparkSession, 8192)
     roots = components(near_edges(prints.select("fp"), radius, blocks, bucket_rows))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -341,7 +341,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     text_hash = F.xxhash64(F.col(text).cast("string"))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("node"), fingerprint_column(text).alias("fp"), wide_column(text).alias("wide"))
     keyed = written(keyed, "fingerprints")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    small_batches(spark, 2048)
     texts = keyed.groupBy("node", "fp", "wide").agg(F.lit(1).alias("one")).drop("one")
     found = []
     for print_, edges in (("fp", lambda p: near_edges(p.select("fp"), radius, bucket_rows=bucket_rows)), ("wide", lambda p: wide_edges(p, wide_radius, bucket_rows=bucket_rows))):

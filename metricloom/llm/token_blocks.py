@@ -134,7 +134,7 @@ def write_token_blocks(
     repeated rows each get their ids and identical rows are interchangeable. Empty input: a table without rows. Other
     columns are not read. A document is never split over segments, so a worker holds a segment and a document.
     """
-    small_batches(docs.sparkSession, BATCH)
+    small_batches(docs.sparkSession, BATCH, "8m")
     keys = [f"__k{i}" for i in range(len(order or [doc_id]))]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(order or [doc_id], keys)))
     by = [*(F.col(k).asc_nulls_first() for k in keys), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -190,5 +190,5 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, order: list[str]
     spark = docs.sparkSession
     path = path or shared_path(spark, "token-blocks")
     write_token_blocks(docs, path, tokenizer, end_id, order, **options)
-    small_batches(spark, 64)  # a row read back is a whole segment
+    small_batches(spark, 64, "8m")  # a row read back is a whole segment
     return read_token_blocks(spark, path)

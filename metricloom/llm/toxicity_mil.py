@@ -110,13 +110,12 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     words, sentence, doc, at = [], [], [], 0
     for k, (w, s) in enumerate(bags):
         names, local = np.unique(s, return_inverse=True)
-        words.append(place[w])
-        sentence.append(local + at)
-        doc.append(np.full(len(names), k))
+        use = place[w] >= 0
+        words.append(place[w[use]].astype(np.int32))
+        sentence.append((local[use] + at).astype(np.int32))
+        doc.append(np.full(len(names), k, np.int32))
         at += len(names)
     words, sentence, doc = np.concatenate(words), np.concatenate(sentence), np.concatenate(doc)
-    use = words >= 0
-    words, sentence = words[use], sentence[use]
     y = labels.astype(np.float64)
     rate = y.mean()
     # the start: words that labelled texts have far more often than others, so that the noisy-or has something to sharpen
@@ -158,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     rows = sample.mapInArrow(bags, "label int, words binary, sentences binary, doc_id bigint").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("words", "ascending")]) if rows.num_rows else rows
     made = [(np.frombuffer(w, "<i4"), np.frombuffer(s, "<i4")) for w, s in zip(rows["words"].to_pylist(), rows["sentences"].to_pylist())]
-    return fit(made, (rows["label"].to_numpy() > 0).astype(int) if rows.num_rows else np.zeros(0, int))
+    model = fit(made, (rows["label"].to_numpy() > 0).astype(int) if rows.num_rows else np.zeros(0, int))
+    del rows, made
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_column(model: ToxicityModel, spark, text: str = "text") -> Column:
