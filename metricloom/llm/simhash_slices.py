@@ -11,14 +11,15 @@ Copies share a fingerprint and are compared once. A bucket above ``bucket_rows``
 each pair of parts is a task of its own.
 
 A few bits of 64 find copies with few changes only. For a shingle similarity of 0.8 the same comparison runs on wide
-fingerprints of 256 bits (``wide_edges``): at that similarity 15 % of the bits differ, of unrelated texts half. Their
-buckets are drawn bits, so a link is found with a stated probability, which doesn't depend on the number of texts.
+fingerprints of 256 bits (``wide_edges``), in which every distinct shingle counts once: at that similarity 15 % of the
+bits differ, of unrelated texts half. Their buckets are drawn bits, so a pair is found with a stated probability, which
+doesn't depend on the number of texts. What they find are candidates: their components are clusters, and inside each
+cluster texts are linked by the exact Jaccard similarity of their shingle sets (``alike_edges``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -46,26 +47,47 @@ WIDE_RADIUS = 44
 TABLES = 48
 TABLE_BITS = 16
 
+#: Jaccard similarity of near copies, as a fraction.
+ALIKE = (4, 5)
+#: Texts of one cluster that are compared exactly by a task at most, in each of two parts, and bytes of text held for that.
+ALIKE_ROWS = 512
+ALIKE_BYTES = 16 << 20
+
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint_lanes(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> np.ndarray:
-    """SimHash of a whole text over word shingles, repeats included, in 64-bit lanes; no word: zeros. The first lane's
-    hashes are XXH64 with SEED, the others are scrambled from these."""
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 with SEED of each word shingle of a whole text, in pieces of bounded size; fewer words are one shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and ASCII white space
     if not words:
-        return np.zeros(lanes, "<u8")
+        return
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    total = np.zeros((lanes, 64), np.int64)
-    for a in range(0, n, 1 << 14):  # a very long text in pieces of bounded memory; all of it counts
-        h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 14)], stops[a : a + (1 << 14)])], "<u8")
+    for a in range(0, n, 1 << 14):
+        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 14)], stops[a : a + (1 << 14)])], "<u8")
+
+
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a whole text; no word: none."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *map(np.unique, _shingle_hashes(text, shingle))]))
+
+
+def fingerprint_lanes(text: str | None, shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> np.ndarray:
+    """SimHash of a whole text over word shingles in 64-bit lanes, repeats included unless ``distinct``; no word: zeros.
+    The first lane's hashes are XXH64 with SEED, the others are scrambled from these."""
+    total, n = np.zeros((lanes, 64), np.int64), 0
+    pieces = _shingle_hashes(text, shingle)
+    if distinct:
+        whole = shingle_set(text, shingle)
+        pieces = (whole[a : a + (1 << 14)] for a in range(0, len(whole), 1 << 14))
+    for h in pieces:
+        n += len(h)
         for k in range(lanes):
             x = mix64(h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) if k else h
             total[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -88,10 +110,10 @@ def fingerprint_column(text: str = "text", shingle: int = SHINGLE) -> Column:
 
 
 def wide_column(text: str = "text", shingle: int = WIDE_SHINGLE, lanes: int = LANES) -> Column:
-    """The wide fingerprint as an array of bigints."""
+    """The wide fingerprint, of distinct shingles, as an array of bigints."""
 
     def prints(texts):
-        return pd.Series([fingerprint_lanes(t, shingle, lanes).view(np.int64) for t in texts])
+        return pd.Series([fingerprint_lanes(t, shingle, lanes, distinct=True).view(np.int64) for t in texts])
 
     prints.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(prints, "array<bigint>")(F.col(text).cast("string"))
@@ -267,7 +289,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bu
 
 
 def wide_edges(prints: DataFrame, radius: int = WIDE_RADIUS, tables: int = TABLES, bits: int = TABLE_BITS, lanes: int = LANES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (u > v) between nodes whose wide fingerprints are linked; ``prints`` has node and wide, no two rows alike."""
+    """Candidate edges (u > v) between nodes whose wide fingerprints are near; ``prints`` has node and wide, no two rows alike."""
     drawn = np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * lanes), (tables, 1)), axis=1)[:, :bits]
     names = [f"w{k}" for k in range(lanes)]
 
@@ -283,6 +305,71 @@ def wide_edges(prints: DataFrame, radius: int = WIDE_RADIUS, tables: int = TABLE
     return _compared(keyed, radius, names, bucket_rows)
 
 
+def alike_forest(groups: np.ndarray, sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> tuple[list[int], list[int]]:
+    """Edges (row, row) that join within each group what has the exact Jaccard similarity; rows of a group stand together.
+
+    From each row reached its intersections with all rows of the group are counted at once, until the group is one.
+    """
+    child, parent = [], []
+    edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        size = np.array([len(x) for x in sets[a:b]], np.int64)
+        flat = np.concatenate(sets[a:b])
+        row = np.repeat(np.arange(b - a), size)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        open_ = np.ones(b - a, bool)
+        while len(rest := np.flatnonzero(open_)) > 1:
+            stack = [int(rest[0])]
+            open_[rest[0]] = False
+            while stack and open_.any():
+                i = stack.pop()
+                lo, hi = np.searchsorted(flat, sets[a + i]), np.searchsorted(flat, sets[a + i], side="right")
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange(int((hi - lo).sum())) if len(lo) else lo
+                both = np.bincount(row[at], minlength=b - a)
+                union = size + size[i] - both
+                near = np.flatnonzero(open_ & (alike[1] * both >= alike[0] * union))
+                open_[near] = False
+                stack += near.tolist()
+                child += (near + a).tolist()
+                parent += [a + i] * len(near)
+    return child, parent
+
+
+def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHINGLE, rows: int = ALIKE_ROWS) -> DataFrame:
+    """Edges (u > v) that span, inside each cluster, the pairs whose shingle sets have a Jaccard similarity of ALIKE or more.
+
+    ``texts``: node and text, also repeated; ``clusters``: node and root, one row a node. A large cluster is dealt into
+    parts, and each pair of parts is a task's.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lot() -> pa.RecordBatch:
+            a, b = alike_forest(np.array(groups), sets)
+            a, b = np.array(nodes, np.int64)[a], np.array(nodes, np.int64)[b]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+
+        groups, nodes, sets, held = [], [], [], 0
+        for batch in batches:
+            for group, node, text in zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+                if groups and group != groups[-1] and held > ALIKE_BYTES:
+                    yield lot()
+                    groups, nodes, sets, held = [], [], [], 0
+                groups.append(group)
+                nodes.append(node)
+                sets.append(shingle_set(text, shingle))
+                held += sets[-1].nbytes
+        if len(groups) > 1:
+            yield lot()
+
+    keyed = clusters.select(F.col("root").alias("bucket"), "node")
+    dealt = _dealt(keyed, rows)
+    one = texts.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    grouped = dealt.join(one, "node").select("group", "node", "text").repartition("group").sortWithinPartitions("group")
+    return grouped.mapInArrow(compare, "u bigint, v bigint").distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (u > v) reaches. Alternating large and small stars; each
     round is a table in the shared folder, so nothing is recomputed beyond a round."""
@@ -333,7 +420,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     """The documents of which one stays for each group: the row with the smallest doc_id; of repeated rows one.
 
     A group is what links join: fingerprints of four-word shingles within ``radius`` bits, and wide fingerprints of
-    five-word shingles within ``wide_radius``, a similarity of about 0.8. Texts without words are alike. A row without an id
+    five-word shingles within ``wide_radius`` whose exact Jaccard similarity is 0.8 or more. Texts without words are alike. A row without an id
     stays only if no row of its group has one. Columns are those of the input.
     """
     spark = docs.sparkSession
@@ -343,15 +430,21 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     keyed = written(keyed, "fingerprints")
     small_batches(spark, 2048)
     texts = keyed.groupBy("node", "fp", "wide").agg(F.lit(1).alias("one")).drop("one")
-    found = []
+    found = {}
     for print_, edges in (("fp", lambda p: near_edges(p.select("fp"), radius, bucket_rows=bucket_rows)), ("wide", lambda p: wide_edges(p, wide_radius, bucket_rows=bucket_rows))):
         first = texts.groupBy(print_).agg(F.min("node").alias("node"))  # one text stands for those with its fingerprint
-        found.append(texts.join(first.withColumnRenamed("node", "first"), print_).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+        same = texts.join(first.withColumnRenamed("node", "first"), print_).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
         made = edges(first)
         if print_ == "fp":  # from fingerprints to the texts that stand for them
             made = made.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found.append(made)
-    linked = reduce(DataFrame.union, found).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        found[print_] = same.union(made).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    clusters = components(found["wide"])
+    clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+    small_batches(spark)
+    alike = written(alike_edges(docs.select(text_hash.alias("node"), F.col(text).cast("string").alias("text")), clusters), "alike")
+    small_batches(spark, 2048)
+    found["wide"] = alike
+    linked = found["fp"].union(found["wide"]).distinct()
     roots = components(linked)
     named = keyed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.isnull("doc_id").alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "node")).alias("s")

@@ -119,6 +119,50 @@ def test_wide_links_similar_texts_and_no_others(spark):
         assert np.mean([2 * k + 1 not in kept for k in range(60) if near[k]]) > 0.9
 
 
+def test_wide_links_are_verified(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    line = " ".join(word() for _ in range(14))
+    rows = [(k, " ".join(word() for _ in range(100)) + f"\n{line}" * 20) for k in range(12)]  # a repeated line and nothing else in common
+    for k in range(20, 60, 2):
+        words = [word() for _ in range(300)]
+        copy = [word() if i % 30 == 7 else w for i, w in enumerate(words)]  # every tenth place of a shingle: Jaccard of about 0.7
+        rows += [(k, " ".join(words)), (k + 1, " ".join(copy))]
+        assert _jaccard(rows[-2][1], rows[-1][1]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in S.one_of_each(docs, radius=0).collect()} == {r[0] for r in rows}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_exact_links_span_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(5)]
+    sets = [np.unique(np.concatenate((base[k % 5][rng.random(40) < 0.93], rng.integers(0, 1 << 63, 2, dtype=np.uint64)))) for k in range(60)] + [np.zeros(0, np.uint64)]
+    groups = np.sort(rng.integers(0, 3, len(sets)))
+
+    def classes(links):
+        root = list(range(len(sets)))
+        for a, b in links:
+            root = [root[a] if x == root[b] else x for x in root]
+        return [root.index(x) for x in root]
+
+    alike = lambda a, b: groups[a] == groups[b] and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b])) > 0
+    want = classes([(a, b) for a in range(len(sets)) for b in range(a) if alike(a, b)])
+    links = list(zip(*S.alike_forest(groups, sets)))
+    assert all(alike(a, b) for a, b in links) and classes(links) == want and len(set(want)) < len(sets)
+
+
+def test_exact_links_of_a_cluster_in_parts(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in range(10, 190, 20)] + [" ".join(rng.permutation(words)) for _ in range(5)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] * 2, "node long, text string")
+    clusters = spark.createDataFrame([(k, 0) for k in range(len(texts))], "node long, root long")
+    for part in (3, 512):
+        got = S.components(S.alike_edges(rows, clusters, rows=part)).collect()
+        assert {r.node for r in got} == set(range(1, 9)) and {r.root for r in got} == {0}
+
+
 def test_simhash_query(spark, sf):
     docs = sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     prints = np.array([slow_print(t) for _, t in docs], np.uint64)
