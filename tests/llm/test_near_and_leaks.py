@@ -163,6 +163,19 @@ def test_exact_links_of_a_cluster_in_parts(spark):
         assert {r.node for r in got} == set(range(1, 9)) and {r.root for r in got} == {0}
 
 
+def test_wide_links_pairs_at_the_bound(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for k in range(200):
+        words = [word() for _ in range(275)]
+        copy = [word() if i % 40 == 20 and i < 240 else w for i, w in enumerate(words)]  # six words are others: 241 of 301 shingles
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        assert 0.8 <= _jaccard(rows[-2][1], rows[-1][1]) < 0.81
+    kept = {r.doc_id for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * k for k in range(200)} <= kept and len(kept) < 206
+
+
 def test_simhash_query(spark, sf):
     docs = sorted(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     prints = np.array([slow_print(t) for _, t in docs], np.uint64)
