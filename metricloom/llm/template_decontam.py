@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, the units after them, and names (capitals that no sentence start explains) are replaced
-by typed placeholders, everything else is lower-cased. Windows of a document's template are looked up in a hash table of
-the benchmark's windows. Where they hit, the two texts are laid side by side, and the slots must be filled consistently:
-one value of the benchmark item stands for one value of the document. So verbatim copies are caught and so are questions
-with other numbers or names, while texts that merely share a frame are not.
+by typed placeholders, everything else is lower-cased; a run of names, or of digits with decimal and thousands marks, is one
+placeholder. Windows of a document's template are looked up in a hash table of the benchmark's windows. Where they hit,
+the two texts are laid side by side: runs of equal tokens on neighbouring shifts, in the order of both texts, add up, so
+a word more or less breaks a run and not the match. The slots must be filled consistently: one value of the benchmark
+item stands for one value of the document. So verbatim copies are caught and so are questions with other numbers or
+names, while texts that merely share a frame are not.
 
 The table of benchmark windows goes to every worker in parts of bounded size; a larger benchmark takes several passes.
 """
@@ -23,11 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import flat_bytes, mix64, small_batches, span_hashes, texts_of
 
-WINDOW = 8
+WINDOW = 5
 #: Words of a window that must not be placeholders.
-LEAST_WORDS = 4
+LEAST_WORDS = 3
 #: Share of an item's template that a document must have on one alignment.
 COVERED = 0.6
+#: Tokens of a run that counts, and how far the shifts of one alignment may lie from that of its window.
+LEAST_RUN = 4
+NEAR_SHIFTS = 8
 #: Bytes of benchmark text that one pass takes.
 PASS_BYTES = 16 << 20
 
@@ -42,6 +47,8 @@ UNITS = (
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0xA1B2C3D4E5F60719, 0x1F2E3D4C5B6A7988, 0x7766554433221101))
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_MARKS = [ord(c) for c in ".,"]
+_JOINTS = [ord(c) for c in " -'"]
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?:;\n"]] = True
 
@@ -58,7 +65,7 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Templates:
-    """Templates of a batch of texts: of each token its hash or placeholder, own hash, text, and place in the data."""
+    """Templates of a batch of texts: of each token its hash or placeholder, the hash of what stands there, text, and place in the data."""
 
     data: np.ndarray
     token: np.ndarray
@@ -79,14 +86,25 @@ class Templates:
         if not len(a):
             return cls(data, own, own, np.zeros(0, bool), doc, np.zeros(len(texts) + 1, np.int64))
         first = data[a]
-        number = (first >= 48) & (first <= 57)
+        digits = (first >= 48) & (first <= 57)
         sentence = np.cumsum(_END[data], dtype=np.int32)[a]
-        begins = np.concatenate(([True], (sentence[1:] != sentence[:-1]) | (doc[1:] != doc[:-1])))
+        # a mark between digits, without a space, ends no sentence and belongs to the number
+        gap = (doc[1:] == doc[:-1]) & (a[1:] == b[:-1] + 1)
+        glued = gap & digits[1:] & digits[:-1] & np.isin(data[b[:-1]], _MARKS)
+        begins = np.concatenate(([True], ((sentence[1:] != sentence[:-1]) & ~glued) | (doc[1:] != doc[:-1])))
         name = (data[a] != low[a]) | ((first == 0xC3) & (data[np.minimum(a + 1, len(data) - 1)] != low[np.minimum(a + 1, len(data) - 1)]))
         name &= ~begins
-        unit = np.concatenate(([False], number[:-1] & ~begins[1:])) & np.isin(own, _unit_hashes()) & ~number
-        token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own)))
-        return cls(data, token, own, number | unit | name, doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
+        joined = gap & np.isin(data[b[:-1]], _JOINTS)
+        goes_on = np.concatenate(([False], glued | (joined & name[1:] & name[:-1]) | (joined & digits[1:] & digits[:-1] & ~begins[1:])))
+        lead = np.flatnonzero(~goes_on)
+        value = own.copy()
+        for k in np.flatnonzero(goes_on).tolist():
+            value[k] = mix64(value[k - 1 : k] * np.uint64(0xD6E8FEB86659FD93) + own[k : k + 1])[0]
+        value = value[np.append(lead[1:], len(a)) - 1]  # of a run, the hash of all its tokens
+        own, doc, begins, digits, name = own[lead], doc[lead], begins[lead], digits[lead], name[lead]
+        unit = np.concatenate(([False], digits[:-1] & ~begins[1:])) & np.isin(own, _unit_hashes()) & ~digits
+        token = np.where(digits, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own)))
+        return cls(data, token, value, digits | unit | name, doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
 
     def windows(self, size: int = WINDOW, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first token of each window with enough words inside one text."""
@@ -112,6 +130,34 @@ def _unit_hashes() -> np.ndarray:
     return _UNIT_HASHES[0]
 
 
+def _alignment(mine: np.ndarray, theirs: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of equal tokens in ``mine`` and ``theirs``: the runs on shifts near the given one that follow each other in
+    both and together have most tokens."""
+    shifts = np.arange(shift - NEAR_SHIFTS, shift + NEAR_SHIFTS + 1)
+    at = shifts[:, None] + np.arange(len(mine))
+    same = (at >= 0) & (at < len(theirs))
+    same &= theirs[np.clip(at, 0, len(theirs) - 1)] == mine
+    edge = np.diff(np.pad(same, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    long = last - first >= LEAST_RUN
+    runs = sorted(zip(last[long].tolist(), first[long].tolist(), shifts[row[long]].tolist()))
+    most: list[tuple[int, int, int]] = []  # of each run: tokens of the best chain that it ends, where it starts in that, the run before
+    for k, (end, start, s) in enumerate(runs):
+        chain = (end - start, start, -1)
+        for j, (before, _, s0) in enumerate(runs[:k]):
+            begin = max(start, before, before + s0 - s)
+            if end - begin > 0 and most[j][0] + end - begin > chain[0]:
+                chain = (most[j][0] + end - begin, begin, j)
+        most.append(chain)
+    here, there = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    k = max(range(len(most)), key=lambda x: most[x][0], default=-1)
+    while k >= 0:
+        here.append(np.arange(most[k][1], runs[k][0]))
+        there.append(here[-1] + runs[k][2])
+        k = most[k][2]
+    return np.concatenate(here), np.concatenate(there)
+
+
 @dataclass
 class Index:
     """Windows of benchmark items: sorted hashes, and the item and token that each is from."""
@@ -145,28 +191,31 @@ class Index:
             return out
         t = Templates.of(texts)
         h, at = t.windows(self.size)
-        known = np.zeros(1 << 16, bool)
-        known[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
-        maybe = np.flatnonzero(known[(h >> np.uint64(48)).astype(np.int64)])
+        known = np.zeros(1 << 20, bool)
+        known[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        maybe = np.flatnonzero(known[(h >> np.uint64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, h[maybe]), np.searchsorted(self.hashes, h[maybe], side="right")
         hit = hi > lo
-        lined: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        lined: dict[tuple[int, int], set[int]] = defaultdict(set)
         for p, a, b in zip(at[maybe][hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
             d = int(t.doc[p])
             for k in range(a, b):
-                lined[d, int(self.item[k]), p - int(t.bounds[d]) - int(self.at[k])].append(int(self.at[k]))
+                lined[d, int(self.item[k])].add(p - int(t.bounds[d]) - int(self.at[k]))
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for (d, i, shift), starts in lined.items():
-            cover = np.zeros(len(self.tokens[i]), bool)
-            for s in starts:
-                cover[s : s + self.size] = True
-            share = float(cover.mean())
-            if share < covered or share <= best.get((d, i), (0.0,))[0]:
-                continue
-            mine = self.slot[i] & cover
-            theirs, ours = self.own[i][mine], t.own[int(t.bounds[d]) + shift + np.flatnonzero(mine)]
-            if len({(x, y) for x, y in zip(theirs.tolist(), ours.tolist())}) == len(set(theirs.tolist())):  # each value has one counterpart
-                best[d, i] = (share, int(mine.sum()), int((theirs != ours).sum()))
+        for (d, i), shifts in lined.items():
+            mine, own, slot = self.tokens[i], self.own[i], self.slot[i]
+            lo, hi = int(t.bounds[d]), int(t.bounds[d + 1])
+            for shift in sorted(shifts):
+                here, there = _alignment(mine, t.token[lo:hi], shift)
+                share = len(here) / len(mine)
+                if share < covered or share <= best.get((d, i), (0.0,))[0]:
+                    continue
+                filled = slot[here]
+                theirs, ours = own[here[filled]], t.own[lo + there[filled]]
+                if len({(x, y) for x, y in zip(theirs.tolist(), ours.tolist())}) == len(set(theirs.tolist())):  # each value has one counterpart
+                    best[d, i] = (share, len(theirs), int((theirs != ours).sum()))
+                if share == 1.0:
+                    break
         for (d, i), (share, slots, changed) in sorted(best.items()):
             out[d].append((self.items[i], share, slots, changed))
         return out

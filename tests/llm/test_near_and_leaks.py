@@ -200,6 +200,18 @@ def test_templates(spark):
     assert not found("A train leaves the station in the morning and nobody stops it near the old bridge") and not found("") and Index.of([]).found(["x"]) == [[]]
 
 
+def test_templates_with_a_word_or_token_more_or_less():
+    text = "when the old train leaves for the coast it carries nine sacks of green apples"
+    words, index = text.split(), Index.of([(1, text)])
+    for k in range(15):
+        assert index.found(["so " + " ".join(words[:k] + ["very"] + words[k:]) + " now"])[0], k
+        assert index.found(["so " + " ".join(words[:k] + words[k + 1 :]) + " now"])[0], k
+    text = "The baker Anna sells 120 loaves of bread to her friend and then walks 7 km home through the rain"
+    index = Index.of([(1, text)])
+    for old, new in (("120", "3.5"), ("120", "1,200"), ("120", "1 200"), ("Anna", "Mary Ann")):
+        assert index.found([text.replace(old, new)]) == [[(1, 1.0, 4, 1)]], new
+
+
 def test_contamination_edges(spark):
     text = ITEMS[0][1]
     docs = spark.createDataFrame([(1, text, 1), (1, text, 1), (None, f"x y. {text}", 2), (3, None, 3), (4, "", 4), (5, "filler " * 30_000 + ". " + text, 5), (6, "clean text", 6)], "doc_id long, text string, item_id long").selectExpr("*", "text AS covered")
