@@ -8,6 +8,10 @@ a word more or less breaks a run and not the match. The slots must be filled con
 item stands for one value of the document. So verbatim copies are caught and so are questions with other numbers or
 names, while texts that merely share a frame are not.
 
+Names are told by capitals, so each text has a second template in which they are words in lower case: it finds copies in
+capitals or in lower case. What stands word for word counts whatever templates say: a run of VERBATIM tokens of an item,
+or all of a shorter one.
+
 The table of benchmark windows goes to every worker in parts of bounded size; a larger benchmark takes several passes.
 """
 
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,6 +37,9 @@ COVERED = 0.6
 #: Tokens of a run that counts, and how far the shifts of one alignment may lie from that of its window.
 LEAST_RUN = 4
 NEAR_SHIFTS = 8
+#: Tokens of an item that count word for word, whatever share of it they are; and of a window that finds them.
+VERBATIM = 20
+PLAIN_WINDOW = 8
 #: Bytes of benchmark text that one pass takes.
 PASS_BYTES = 16 << 20
 
@@ -76,6 +83,11 @@ class Templates:
 
     @classmethod
     def of(cls, texts: list[str]) -> Templates:
+        return cls.views(texts)[0]
+
+    @classmethod
+    def views(cls, texts: list[str]) -> tuple[Templates, Templates, Templates]:
+        """The templates, those with names as words, and the plain tokens in lower case."""
         data, starts = flat_bytes(texts)
         word = _KIND[data] > 0
         edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
@@ -84,7 +96,7 @@ class Templates:
         own = span_hashes(low, a, b)
         doc = np.searchsorted(starts, a, side="right") - 1
         if not len(a):
-            return cls(data, own, own, np.zeros(0, bool), doc, np.zeros(len(texts) + 1, np.int64))
+            return (cls(data, own, own, np.zeros(0, bool), doc, np.zeros(len(texts) + 1, np.int64)),) * 3
         first = data[a]
         digits = (first >= 48) & (first <= 57)
         sentence = np.cumsum(_END[data], dtype=np.int32)[a]
@@ -95,16 +107,35 @@ class Templates:
         name = (data[a] != low[a]) | ((first == 0xC3) & (data[np.minimum(a + 1, len(data) - 1)] != low[np.minimum(a + 1, len(data) - 1)]))
         name &= ~begins
         joined = gap & np.isin(data[b[:-1]], _JOINTS)
-        goes_on = np.concatenate(([False], glued | (joined & name[1:] & name[:-1]) | (joined & digits[1:] & digits[:-1] & ~begins[1:])))
-        lead = np.flatnonzero(~goes_on)
-        value = own.copy()
-        for k in np.flatnonzero(goes_on).tolist():
-            value[k] = mix64(value[k - 1 : k] * np.uint64(0xD6E8FEB86659FD93) + own[k : k + 1])[0]
-        value = value[np.append(lead[1:], len(a)) - 1]  # of a run, the hash of all its tokens
-        own, doc, begins, digits, name = own[lead], doc[lead], begins[lead], digits[lead], name[lead]
-        unit = np.concatenate(([False], digits[:-1] & ~begins[1:])) & np.isin(own, _unit_hashes()) & ~digits
-        token = np.where(digits, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own)))
-        return cls(data, token, value, digits | unit | name, doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
+        numbers = glued | (joined & digits[1:] & digits[:-1] & ~begins[1:])
+        cut = lambda d: np.searchsorted(d, np.arange(len(texts) + 1))
+
+        def view(name: np.ndarray) -> Templates:
+            goes_on = np.concatenate(([False], numbers | (joined & name[1:] & name[:-1])))
+            lead = np.flatnonzero(~goes_on)
+            value = own.copy()
+            for k in np.flatnonzero(goes_on).tolist():
+                value[k] = mix64(value[k - 1 : k] * np.uint64(0xD6E8FEB86659FD93) + own[k : k + 1])[0]
+            value = value[np.append(lead[1:], len(a)) - 1]  # of a run, the hash of all its tokens
+            first, number, named = own[lead], digits[lead], name[lead]
+            unit = np.concatenate(([False], number[:-1] & ~begins[lead][1:])) & np.isin(first, _unit_hashes()) & ~number
+            token = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(named, _NAME, first)))
+            return cls(data, token, value, number | unit | named, doc[lead], cut(doc[lead]))
+
+        none = np.zeros(len(a), bool)
+        return view(name), view(none), cls(data, own, own, none, doc, cut(doc))
+
+    def plain_windows(self, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each size the hash and first token of each window inside one text."""
+        h = self.token
+        for size in range(1, max(sizes, default=0) + 1):
+            n = len(self.token) - size + 1
+            if n <= 0:
+                return
+            h = h[:n] * np.uint64(0xD6E8FEB86659FD93) + self.token[size - 1 :] if size > 1 else h
+            if size in sizes:
+                at = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
+                yield size, mix64(h[at] + np.uint64(size)), at
 
     def windows(self, size: int = WINDOW, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first token of each window with enough words inside one text."""
@@ -159,16 +190,41 @@ def _alignment(mine: np.ndarray, theirs: np.ndarray, shift: int) -> tuple[np.nda
 
 
 @dataclass
-class Index:
+class Lookup:
     """Windows of benchmark items: sorted hashes, and the item and token that each is from."""
 
+    hashes: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, t: Templates, hashes: np.ndarray, at: np.ndarray) -> Lookup:
+        order = np.argsort(hashes, kind="stable")
+        doc = t.doc[at[order]]
+        return cls(hashes[order], doc, at[order] - t.bounds[doc])
+
+    def __post_init__(self):
+        self.known = np.zeros(1 << 20, bool)
+        self.known[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Token, item and token of the item of each window that both have."""
+        maybe = np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.hashes, h[maybe]), np.searchsorted(self.hashes, h[maybe], side="right")
+        hit = hi > lo
+        for p, a, b in zip(at[maybe][hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+            for k in range(a, b):
+                yield p, int(self.item[k]), int(self.at[k])
+
+
+@dataclass
+class Index:
+    """Benchmark items as three views, with lookups of their windows; those of plain tokens by window size."""
+
     items: list[int]
-    tokens: list[np.ndarray]
-    own: list[np.ndarray]
-    slot: list[np.ndarray]
-    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    views: tuple[Templates, Templates, Templates]
+    lookups: list[Lookup]
+    plain: dict[int, Lookup]
     size: int = WINDOW
 
     @classmethod
@@ -177,33 +233,41 @@ class Index:
         first: dict[str, int] = {}
         for i, t in sorted(x for x in items if x[0] is not None and x[1]):
             first.setdefault(t, i)
-        t = Templates.of(list(first))
-        hashes, at = t.windows(size, least)
-        order = np.argsort(hashes, kind="stable")
-        cut = lambda x: [x[a:b] for a, b in zip(t.bounds, t.bounds[1:])]
-        doc = t.doc[at][order] if len(at) else np.zeros(0, np.int64)
-        return cls(list(first.values()), cut(t.token), cut(t.own), cut(t.slot), hashes[order], doc, at[order] - t.bounds[doc], size)
+        views = Templates.views(list(first))
+        lookups = [Lookup.of(t, *t.windows(size, least)) for t in views[:2]]
+        t, plain = views[2], {}
+        length = np.diff(t.bounds)
+        for k, h, at in t.plain_windows(list(range(1, PLAIN_WINDOW + 1))):
+            # a short item is a window of its size; of others every so-manieth window, so that a run of VERBATIM has one
+            mine = (length[t.doc[at]] == k) if k < PLAIN_WINDOW else (at - t.bounds[t.doc[at]]) % PLAIN_WINDOW == 0
+            if mine.any():
+                plain[k] = Lookup.of(t, h[mine], at[mine])
+        return cls(list(first.values()), views, lookups, plain, size)
 
     def found(self, texts: list[str], covered: float = COVERED) -> list[list[tuple[int, float, int, int]]]:
-        """Of each text the items that it has: item, share of the item's template, its slots, and those with another value."""
+        """Of each text the items that it has: item, share of the item's template (or tokens, of what is found word for word
+        only), its slots, and those with another value."""
         out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
-        if not len(self.hashes):
+        if not self.items:
             return out
-        t = Templates.of(texts)
-        h, at = t.windows(self.size)
-        known = np.zeros(1 << 20, bool)
-        known[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        maybe = np.flatnonzero(known[(h >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hashes, h[maybe]), np.searchsorted(self.hashes, h[maybe], side="right")
-        hit = hi > lo
+        views = Templates.views(texts)
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        for items, lookup, t in zip(self.views, self.lookups, views):
+            best |= self._by_template(items, lookup, t, covered, best)
+        best |= self._word_for_word(views[2], best)
+        for (d, i), (share, slots, changed) in sorted(best.items()):
+            out[d].append((self.items[i], share, slots, changed))
+        return out
+
+    def _by_template(self, items: Templates, lookup: Lookup, t: Templates, covered: float, before: dict) -> dict:
         lined: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for p, a, b in zip(at[maybe][hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+        for p, i, at in lookup.hits(*t.windows(self.size)):
             d = int(t.doc[p])
-            for k in range(a, b):
-                lined[d, int(self.item[k])].add(p - int(t.bounds[d]) - int(self.at[k]))
+            if (d, i) not in before:
+                lined[d, i].add(p - int(t.bounds[d]) - at)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for (d, i), shifts in lined.items():
-            mine, own, slot = self.tokens[i], self.own[i], self.slot[i]
+            mine, own, slot = (x[items.bounds[i] : items.bounds[i + 1]] for x in (items.token, items.own, items.slot))
             lo, hi = int(t.bounds[d]), int(t.bounds[d + 1])
             for shift in sorted(shifts):
                 here, there = _alignment(mine, t.token[lo:hi], shift)
@@ -216,9 +280,22 @@ class Index:
                     best[d, i] = (share, len(theirs), int((theirs != ours).sum()))
                 if share == 1.0:
                     break
-        for (d, i), (share, slots, changed) in sorted(best.items()):
-            out[d].append((self.items[i], share, slots, changed))
-        return out
+        return best
+
+    def _word_for_word(self, t: Templates, before: dict) -> dict:
+        items, best = self.views[2], {}
+        for k, h, p in t.plain_windows(list(self.plain)):
+            for p, i, at in self.plain[k].hits(h, p):
+                d = int(t.doc[p])
+                if (d, i) in before:
+                    continue
+                lo, hi, a, b = int(items.bounds[i]), int(items.bounds[i + 1]), int(t.bounds[d]), int(t.bounds[d + 1])
+                back, on = min(at, p - a), min(hi - lo - at, b - p)
+                other = np.flatnonzero(items.own[lo + at - back : lo + at + on] != t.own[p - back : p + on]) - back
+                run = int(other[other >= 0].min(initial=on)) - int(other[other < 0].max(initial=-back - 1)) - 1
+                if run >= min(VERBATIM, hi - lo) and run / (hi - lo) > best.get((d, i), (0.0,))[0]:
+                    best[d, i] = (run / (hi - lo), 0, 0)
+        return best
 
 
 def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pass_bytes: int = PASS_BYTES) -> list:
@@ -233,8 +310,8 @@ def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, covered, slots, changed_slots of every item that a document has.
 
-    Null and empty texts have none; items without id or text, or shorter than a window, are never found; of equal items the
-    smallest id is given. Repeated rows and null ids: rows each. Empty tables: no row. Other columns are not read.
+    Null and empty texts have none; items without id or text are never found, an item shorter than a window where its tokens
+    stand in a row, also if it is a single one; of equal items the smallest id is given. Repeated rows and null ids: rows each. Empty tables: no row. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     shared = indexes(benchmark, item_id, item_text)

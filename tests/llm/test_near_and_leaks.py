@@ -212,6 +212,21 @@ def test_templates_with_a_word_or_token_more_or_less():
         assert index.found([text.replace(old, new)]) == [[(1, 1.0, 4, 1)]], new
 
 
+def test_verbatim_short_and_case_folded_items():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60)]
+    index = Index.of([(1, " ".join(words)), (2, "too short"), (3, "12 + 7 = 19, 3 + 4 = 7, 5 + 6 = 11"), (4, "those are Anna, Bert, Carl, Dora, Emil, Fritz, Gerd, Hans"), (5, ITEMS[0][1])])
+    found = lambda t: [f[0] for f in index.found([t])[0]]
+    for a in (0, 3, 11, 27):  # 33 of 60 words
+        assert found("so " + " ".join(words[a : a + 33]) + " end") == [1]
+        assert found("so " + " ".join(words[a : a + 19]) + " end") == []
+    assert found("this is TOO short, is it") == [2] and found("too very short") == []
+    assert found("note that 12 + 7 = 19, 3 + 4 = 7, 5 + 6 = 11 holds") == [3] and found("12 + 7 = 19, 3 + 4 = 8, 5 + 6 = 11") == []
+    assert found("And those are Anna, Bert, Carl, Dora, Emil, Fritz, Gerd, Hans") == found("and THOSE are anna, bert, carl, dora, emil, fritz, gerd, hans") == [4]
+    for text in (ITEMS[0][1], ITEMS[0][1].replace("120", "340")):
+        assert found(text.upper()) == found(text.lower()) == found("He said: " + text.upper()) == [5]
+
+
 def test_contamination_edges(spark):
     text = ITEMS[0][1]
     docs = spark.createDataFrame([(1, text, 1), (1, text, 1), (None, f"x y. {text}", 2), (3, None, 3), (4, "", 4), (5, "filler " * 30_000 + ". " + text, 5), (6, "clean text", 6)], "doc_id long, text string, item_id long").selectExpr("*", "text AS covered")
