@@ -102,6 +102,15 @@ class UnreachablePath(JoinResolutionError):
         super().__init__(f"no join path from '{start}' to '{goal}'")
 
 
+class BrokenPath(JoinResolutionError):
+    """A join path names an entity that no model has any more."""
+
+    status = 500
+
+    def __init__(self, start: str, goal: str):
+        super().__init__(f"the join path from '{start}' to '{goal}' is broken")
+
+
 class MissingNode(MetricloomError):
     def __init__(self, entity: str):
         super().__init__(f"a join names entity '{entity}', which no model has")
@@ -136,6 +145,15 @@ class UnknownRlsDimension(RlsError):
         super().__init__(f"a row policy of '{entity}' names dimension '{dimension}', which it doesn't have")
 
 
+class UnprotectedTable(RlsError):
+    """Plain SQL under row policies names a table that they can't be applied to."""
+
+    status = 400
+
+    def __init__(self, table: str):
+        super().__init__(f"with a user context SQL can read sources by their plain names only, not '{table}'")
+
+
 class DialectError(MetricloomError):
     """What a dialect can't say, or a value that it can't take."""
 
@@ -144,3 +162,27 @@ class SourceError(MetricloomError):
     """A table has no source."""
 
     sqlstate = "XX000"
+
+
+class ConnectorError(SourceError):
+    """A warehouse can't be read. ``table`` is the source's name."""
+
+    def __init__(self, table: str, reason: str):
+        self.table = table
+        super().__init__(f"table '{table}': {reason}")
+
+
+class ConnectionFailed(ConnectorError):
+    pass
+
+
+class QueryFailed(ConnectorError):
+    pass
+
+
+class QueryTimedOut(ConnectorError):
+    pass
+
+
+class UnsupportedType(ConnectorError):
+    pass

@@ -22,7 +22,6 @@ MODELS = Path(__file__).with_name("models")
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """An engine with the example models over a folder of Parquet tables."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = Engine(spark, SourceRegistry(spark).parquet_dir(sf_dir, *TABLES))
     e.load_dir(MODELS)
     return e
@@ -69,7 +68,9 @@ REQUESTS: dict[str, tuple[dict, dict | None, str]] = {
     "join_full": ({"metric_name": "nations_by_supplier"}, None, "SELECT s_name AS maker_name, count(n_nationkey) AS {m} FROM nation FULL JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
     "join_reverse_edge": ({"metric_name": "shoppers_by_status"}, None, "SELECT o_orderstatus AS order_status, count(c_custkey) AS {m} FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "join_role_playing": ({"metric_name": "quantity_by_trade_lane"}, None, "SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, sum(l_quantity) AS {m} FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY 1, 2"),
-    "join_cross_model": ({"metric_name": "zones_count"}, None, "SELECT n_regionkey AS zone_key, count(n_nationkey) AS {m} FROM nation GROUP BY 1"),
+    "join_two_entities": ({"metric_name": "zones_count"}, None, "SELECT n_regionkey AS zone_key, count(n_nationkey) AS {m} FROM nation GROUP BY 1"),
+    "join_cross_model": ({"metric_name": "buyers_by_territory"}, None, "SELECT lower(r_name) AS territory, count(c_custkey) AS {m} FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "join_expressions": ({"metric_name": "balance_by_territory", "filters": [_filter("territory", "in", "('asia', 'europe')")]}, None, "SELECT lower(r_name) AS territory, c_mktsegment AS buyer_segment, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS {m} FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE lower(r_name) IN ('asia', 'europe') GROUP BY 1, 2"),
     **{
         f"grain_{g}": ({"metric_name": "events_total", "time_granularity": g.upper() if g == "day" else g}, None, f"SELECT CAST(date_trunc('{g}', ts) AS TIMESTAMP) AS {g}, count(event_id) AS {{m}} FROM events GROUP BY 1")
         for g in ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
@@ -89,6 +90,7 @@ REQUESTS: dict[str, tuple[dict, dict | None, str]] = {
     "rls_missing_claim": ({"metric_name": "guarded_orders", "dimensions": ["guarded_status"]}, {}, "SELECT o_orderstatus AS guarded_status, count(o_orderkey) AS {m} FROM orders WHERE 1 = 0 GROUP BY 1"),
     "rls_deny_global": ({"metric_name": "guarded_order_total"}, {}, "SELECT count(o_orderkey) AS {m} FROM orders WHERE 1 = 0"),
     "rls_no_context": ({"metric_name": "guarded_orders"}, None, "SELECT o_orderstatus AS guarded_status, count(o_orderkey) AS {m} FROM orders GROUP BY 1"),
+    "rls_role_playing": ({"metric_name": "quantity_by_trade_lane"}, {"nation": "NATION_3", "segment": "BUILDING", "status": "F"}, "SELECT cn.n_name AS customer_nation, sn.n_name AS supplier_nation, sum(l_quantity) AS {m} FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE cn.n_name = 'NATION_3' AND sn.n_name = 'NATION_3' AND c_mktsegment = 'BUILDING' AND o_orderstatus = 'F' GROUP BY 1, 2"),
     "rls_chasm": ({"metric_name": "revenue_chasm"}, {"segment": "BUILDING", "status": "F"}, "WITH o AS (SELECT o_custkey, sum(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), e AS (SELECT DISTINCT user_id FROM events) SELECT c_mktsegment AS shopper_segment, user_id AS event_user_id, sum(p) AS {m} FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN e ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2"),
 }
 
@@ -202,6 +204,19 @@ def _compiled_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(e.compile_sql({"metric_name": "orders_placed_chasm", "filters": [_filter("shopper_segment", "eq", "BUILDING")]}, "spark"))
 
 
+def _compiled_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL text of joined entities whose dimension and measure are expressions, run as such."""
+    e = engine(spark, sf_dir)
+    e.sources.create_views()
+    return spark.sql(e.compile_sql({"metric_name": "balance_by_territory"}, "spark"))
+
+
+def _guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL under row policies: every source, also in subqueries, shows the allowed rows alone."""
+    text = "WITH big AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 1000) SELECT o_orderstatus, c_mktsegment, count(*) AS n FROM big JOIN customer ON o_custkey = c_custkey WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY 1, 2"
+    return engine(spark, sf_dir).execute(text, {"status": "F", "segment": "BUILDING"})
+
+
 def _text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_text_rows(engine(spark, sf_dir).query({"metric_name": "line_count_by_flag"}))
 
@@ -225,6 +240,8 @@ PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "passthrough_sql": (_passthrough, "SELECT n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name"),
     "semantic_text": (_semantic_text, "SELECT event_type, count(event_id) AS events_by_type FROM events WHERE user_id < 50 GROUP BY 1"),
     "compiled_sql": (_compiled_sql, "WITH o AS (SELECT o_custkey, count(o_orderkey) AS p FROM orders GROUP BY 1), e AS (SELECT DISTINCT user_id FROM events) SELECT c_mktsegment AS shopper_segment, user_id AS event_user_id, CAST(sum(p) AS BIGINT) AS orders_placed_chasm FROM o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN e ON c_custkey = user_id WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2"),
+    "compiled_expressions": (_compiled_expressions, "SELECT lower(r_name) AS territory, c_mktsegment AS buyer_segment, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS BIGINT) AS balance_by_territory FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"),
+    "rls_passthrough": (_guarded_sql, "SELECT o_orderstatus, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 AND o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' GROUP BY 1, 2"),
     "text_rows": (_text_rows, "SELECT l_returnflag AS col_0, CAST(count(l_orderkey) AS VARCHAR) AS col_1 FROM lineitem GROUP BY 1"),
 }
 

@@ -49,6 +49,12 @@ def condition(p: Predicate, entity: str | None = None) -> Column:
     return {"eq": c == v, "not_eq": c != v, "gt": c > v, "lt": c < v, "gte": c >= v, "lte": c <= v}[p.operator.value]
 
 
+def allowed(rules: list[Predicate]) -> Column:
+    """Row policies as one condition on a bare table."""
+    own = lambda sql: F.col(quoted(sql)) if _IDENTIFIER.match(sql) else F.expr(sql)
+    return and_all(*(F.lit(False) if p.value is None else own(p.field.dimension.sql) == F.lit(p.value) for p in rules))
+
+
 class _Builder:
     def __init__(self, plan: Plan, sources: SourceRegistry):
         self.plan, self.sources = plan, sources
@@ -124,4 +130,4 @@ def to_frame(plan: Plan, sources: SourceRegistry) -> DataFrame:
     return _Builder(plan, sources).build()
 
 
-__all__ = ["AGGREGATES", "column", "condition", "to_frame"]
+__all__ = ["AGGREGATES", "allowed", "column", "condition", "quoted", "to_frame"]

@@ -2,5 +2,6 @@
 
 from .registry import SourceRegistry
 from .sinks import envelope, to_text_rows
+from .warehouses import BigQuery, Postgres, Snowflake
 
-__all__ = ["SourceRegistry", "envelope", "to_text_rows"]
+__all__ = ["BigQuery", "Postgres", "Snowflake", "SourceRegistry", "envelope", "to_text_rows"]

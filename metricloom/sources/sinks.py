@@ -25,6 +25,6 @@ def _plain(value: object) -> object:
 
 
 def envelope(metric: str, sql: str, df: DataFrame, limit: int) -> dict:
-    """The REST answer, with the rows themselves: at most ``limit`` of them reach the driver."""
-    rows = [[_plain(v) for v in r] for r in df.limit(limit).collect()]
-    return {"metric": metric, "sql": sql, "columns": df.columns, "rows": rows, "row_count": len(rows)}
+    """The REST answer, with the rows themselves: at most ``limit`` of them; ``truncated`` says whether there are more."""
+    rows = [[_plain(v) for v in r] for r in df.limit(limit + 1).collect()]
+    return {"metric": metric, "sql": sql, "columns": df.columns, "rows": rows[:limit], "row_count": min(len(rows), limit), "truncated": len(rows) > limit}

@@ -1,9 +1,11 @@
 import itertools
+from decimal import Decimal
 
 import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 
 import __spark_entry__
 from metricloom import errors as E
@@ -183,6 +185,142 @@ def test_service_surface(spark):
     assert out["columns"] == ["order_status", "plain"] and out["row_count"] == 1 and out["sql"].endswith("LIMIT 1")
 
 
+def test_handshake_is_matched_as_a_whole(spark):
+    e = shop(spark)
+    assert e.execute("SELECT 'version()' AS v").collect()[0].v == "version()"
+    assert e.execute("select  VERSION( ) ;").columns == ["version"]
+    assert e.execute("SELECT count(*) AS n FROM orders -- version()").collect()[0].n == 6
+
+
+def test_plain_sql_under_row_policies(spark):
+    text = CHASM.replace("rls_policies: []", "rls_policies: [{claim_key: area, dimension: region}]").replace("public.customers", "customers")
+    e = shop(spark, text=text)
+    e.sources.register("customers", spark.createDataFrame(CUSTOMERS, "customer_id long, region string, vip boolean"))
+    e.sources.register("secrets", spark.createDataFrame([(1,)], "a int"))
+    claims = {"area": "n"}
+    for query, want in (
+        ("SELECT customer_id FROM customers", [(1,), (2,)]),
+        ("SELECT c.customer_id FROM Customers c WHERE c.region = 's' OR 1 = 1;", [(1,), (2,)]),
+        ("WITH x AS (SELECT * FROM customers) SELECT customer_id FROM x", [(1,), (2,)]),
+        ("SELECT (SELECT count(*) FROM customers) AS n", [(2,)]),
+        ("SELECT id FROM orders WHERE customer_id IN (SELECT customer_id FROM customers) -- no end", [(1,), (2,), (3,)]),
+        ("SELECT id FROM orders o WHERE EXISTS (SELECT 1 FROM customers c WHERE c.customer_id = o.customer_id)", [(1,), (2,), (3,)]),
+        ("WITH customers AS (SELECT 7 AS customer_id) SELECT * FROM customers", [(7,)]),
+        ("SELECT customer_id FROM customers UNION ALL (SELECT customer_id FROM customers) ORDER BY 1", [(1,), (1,), (2,), (2,)]),
+        ("SELECT a FROM secrets", [(1,)]),
+    ):
+        assert rows(e.execute(query, claims)) == want, query
+    assert rows(e.execute("SELECT customer_id FROM customers", {})) == []
+    assert len(rows(e.execute("SELECT customer_id FROM customers"))) == 4
+    spark.range(3).createOrReplaceTempView("elsewhere")
+    for query in (
+        "SELECT * FROM elsewhere", "SELECT * FROM default.customers", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM gone", "SELECT * FROM IDENTIFIER('customers')",
+        "WITH elsewhere AS (SELECT 1) SELECT * FROM elsewhere",
+    ):
+        with pytest.raises(E.UnprotectedTable) as refused:
+            e.execute(query, claims)
+        assert refused.value.status == 400
+    for query in ("DROP VIEW customers", "CREATE TABLE t AS SELECT * FROM customers", "SELECT 1) UNION ALL (SELECT * FROM customers"):
+        with pytest.raises((E.UnprotectedTable, PySparkException)):
+            e.execute(query, claims)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("__allowed")]
+
+
+def test_rest_says_what_it_left_out(spark):
+    from metricloom.sources import envelope
+
+    out = envelope("m", "", spark.range(5), 3)
+    assert (out["row_count"], out["truncated"], len(out["rows"])) == (3, True, 3)
+    assert envelope("m", "", spark.range(3), 3)["truncated"] is False
+
+
+def test_policies_of_the_second_role_of_a_table(spark):
+    text = """
+name: staff
+entities:
+  - {name: workers, table: staff, primary_key: id, entity_type: fact, dimensions: [{name: worker, type: string, sql: name}], measures: [{name: heads, agg: count, sql: id}], rls_policies: [{claim_key: site, dimension: worker_site}]}
+  - {name: bosses, table: staff, primary_key: id, entity_type: dimension, dimensions: [{name: boss, type: string, sql: name}], measures: []}
+joins: [{left_entity: workers, left_column: boss_id, right_entity: bosses, right_column: id}]
+metrics: [{name: reports, measure: heads, dimensions: [boss]}]
+""".replace("{name: worker, type: string, sql: name}", "{name: worker, type: string, sql: name}, {name: worker_site, type: string, sql: site}")
+    e = Engine(spark)
+    e.load_yaml(text)
+    e.sources.register("staff", spark.createDataFrame([(1, "ann", None, "x"), (2, "bob", 1, "x"), (3, "cyd", 4, "x"), (4, "dan", None, "y"), (5, "eve", 1, "y")], "id long, name string, boss_id long, site string"))
+    assert rows(e.query({"metric_name": "reports"})) == sorted([("ann", 2), ("dan", 1), (None, 2)], key=str)
+    assert rows(e.query({"metric_name": "reports"}, {"site": "x"})) == [("ann", 1)]  # dan is a boss of the other site
+
+
+def test_paths_beyond_a_fact_that_is_aggregated_first(spark):
+    more = "  - {name: shops, table: shops, primary_key: shop_id, entity_type: dimension, dimensions: [{name: shop_name, type: string, sql: name}], measures: []}\njoins:\n  - {left_entity: orders, left_column: shop_id, right_entity: shops, right_column: shop_id}"
+    e = shop(spark, text=CHASM.replace("joins:", more, 1))
+    with pytest.raises(E.FinerThanConformedGrain) as caught:
+        e.query({"metric_name": "by_region", "dimensions": ["shop_name", "return_customer_id"]})
+    assert (caught.value.dimension, caught.value.entity, caught.value.grain) == ("shop_name", "orders", "customer_id")
+
+
+def test_broken_path(spark):
+    from metricloom.plans import resolve as R
+
+    state = shop(spark).state.snapshot()
+    object.__setattr__(state, "entity", lambda name, first=None: None)
+    with pytest.raises(E.BrokenPath):
+        R.resolve(R.Request.of({"metric_name": "plain"}), state)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.REQUESTS))
+def test_compiled_sql_of_other_dialects(spark, sf, name):
+    """DuckDB reads what Postgres and Snowflake are given; Spark runs its own."""
+    con = duckdb.connect()
+    for t in catalogue.TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    request, context, _ = catalogue.REQUESTS[name]
+    e, metric = catalogue.engine(spark, sf), request["metric_name"]
+    exact = lambda rows: sorted(([round(v, 2) if isinstance(v, float) else int(v) if isinstance(v, Decimal) else str(v) for v in r] for r in rows), key=str)
+    want = exact(e.query(request, context).collect())
+    for dialect in ("postgres", "snowflake"):
+        assert exact(con.execute(e.compile_sql(request, dialect, context)).fetchall()) == want, dialect
+    e.sources.create_views()
+    assert exact(spark.sql(e.compile_sql(request, "spark", context)).collect()) == want and metric
+
+
+def test_warehouse_settings(spark):
+    from metricloom.sources import BigQuery, Postgres, Snowflake, SourceRegistry
+    from metricloom.sources.warehouses import failure
+
+    p = Postgres("h", "d", "u", "word", partition=("id", 0, 100, 4))
+    assert p.options("t")["url"] == "jdbc:postgresql://h:5432/d" and p.options("t")["queryTimeout"] == "30" and p.options("t")["numPartitions"] == "4" and "word" not in repr(p)
+    assert Snowflake("a", "u", "d", "w").options("t")["statement_timeout_in_seconds"] == "60" and "sfRole" not in Snowflake("a", "u", "d", "w").options("t")
+    assert BigQuery("p", "d").options("t")["table"] == "p.d.t"
+    s = SourceRegistry(spark).postgres("a", p).snowflake("b", Snowflake("a", "u", "d", "w", password="word")).bigquery("c", BigQuery("p", "d"))
+    for t in s.names():
+        with pytest.raises(E.ConnectionFailed) as caught:
+            s.table(t)
+        assert caught.value.table == t and caught.value.status == 500 and "word" not in str(caught.value)
+    assert isinstance(failure("t", RuntimeError("java.sql.SQLTimeoutException: x")), E.QueryTimedOut)
+    assert isinstance(failure("t", RuntimeError("UNRECOGNIZED_SQL_TYPE")), E.UnsupportedType)
+
+
+def test_database_over_jdbc(spark, tmp_path):
+    """Spark brings the Derby driver: a real database, with pushdown and failures."""
+    from metricloom.sources import SourceRegistry
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.createDataFrame([(k, f"n{k % 3}", k * 1.5) for k in range(30)], "id int, name string, amount double").write.jdbc(url, "sales", mode="overwrite")
+    s = SourceRegistry(spark).jdbc("sales", url, queryTimeout="30")
+    e = Engine(spark, s)
+    e.load_yaml("""
+name: shop
+entities:
+  - {name: sales, table: sales, primary_key: id, dimensions: [{name: who, type: string, sql: name}, {name: number, type: number, sql: id}], measures: [{name: total, agg: sum, sql: amount}]}
+metrics: [{name: by_who, measure: total, dimensions: [who]}]
+""")
+    df = e.query({"metric_name": "by_who", "filters": [{"dimension": "number", "operator": "lt", "value": "6"}]})
+    assert rows(df) == [("n0", 4.5), ("n1", 7.5), ("n2", 10.5)]
+    assert "LessThan(id,6)" in df._jdf.queryExecution().toString().replace("ID", "id")
+    with pytest.raises(E.ConnectorError):
+        SourceRegistry(spark).jdbc("gone", url).table("gone")
+
+
 def test_sources(spark, sf, tmp_path):
     from metricloom.sources import SourceRegistry
 
