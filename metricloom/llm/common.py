@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that ends a word: space, tab, newline, vertical tab, form feed, carriage return.
@@ -24,20 +25,64 @@ def small_batches(spark: SparkSession, rows: int = 128, size: str = "2m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+_WRITTEN: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share. A default is set only where the session has none."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local master gets
+    a temporary folder; a cluster, whose executors would not see that, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder: a lost executor costs no recomputation beyond it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes written tables that no plan needs any more."""
+    for t in tables:
+        if path := getattr(t, "shared_path", None):
+            _remove(t.sparkSession, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes all tables that this process has written to the shared folder; results that read them must be done with."""
+    for path in list(_WRITTEN):
+        _remove(spark, path)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame doesn't have, in any case."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in there:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def learn_part(doc_id: str, modulus: int) -> Column:
@@ -60,23 +105,6 @@ def flat_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in WORD_SPACE]] = True
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-
-
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    if n:
-        out[0] = 1
-        have = 1
-        while have < n:
-            step = min(have, n - have)
-            np.multiply(out[:step], out[have - 1 : have] * base, out=out[have : have + step])
-            have += step
-    return out
-
-
-_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_POW: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -95,39 +123,57 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: Bytes of a span that are hashed eight at a time for all spans at once; longer ones go to XXH64 one by one.
+_SHORT = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: polynomial in the bytes, from prefix sums modulo 2^64, then scrambled with the length."""
-    n = len(data) + 1
-    if len(_POW[0]) < n:
-        _POW[0], _POW[1] = _powers(n, _P), _powers(n, _INVERSE)
-    prefix = np.zeros(n, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _POW[0][: n - 1], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _POW[1][starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
-
-
-def sampled_labels(labels: DataFrame, docs: DataFrame, label: str, most: int, where: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, label) of at most ``most`` labelled documents, chosen by the hash of their ids, texts whole.
-
-    Labels without id or value don't count; of several for one id the largest holds. The ids chosen are at most
-    ``most``, so sending them to all workers is bounded whatever the tables hold.
+    """64-bit hashes of byte spans, each by its bytes alone: eight bytes and a scrambling at a time, the length first."""
+    size = ends - starts
+    h = mix64(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= _SHORT))
+    at, left, now = starts[live], size[live], h[live]
+    while len(live):
+        now = mix64((now ^ (eight[at] & _MASKS[np.minimum(left, 8)])) + np.uint64(0x9E3779B97F4A7C15))
+        h[live] = now
+        more = left > 8
+        live, at, left, now = live[more], at[more] + 8, left[more] - 8, now[more]
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        import xxhash
+
+        for k in long.tolist():
+            h[k] = xxhash.xxh64_intdigest(memoryview(data[starts[k] : ends[k]]))
+    return h
+
+
+#: Bytes of text that a model is fitted on at most, and of one of its texts.
+LABELLED_BYTES = 64 << 20
+LABELLED_TEXT_BYTES = 1 << 20
+
+
+def sampled_labels(
+    labels: DataFrame, docs: DataFrame, label: str, most: int, where: Column | None = None, doc_id: str = "doc_id", text: str = "text",
+    most_bytes: int = LABELLED_BYTES, text_bytes: int = LABELLED_TEXT_BYTES,
+) -> DataFrame:
+    """(doc_id, text, label) of at most ``most`` labelled documents, one row an id, chosen by the hash of their ids, texts whole.
+
+    Labels without id or value don't count; of several for one id the largest holds, of several texts of one id the one with
+    the smallest hash. Texts of more than ``text_bytes`` are not drawn, nor what comes after ``most_bytes`` in the order of
+    the hash: rows and bytes are bounded whatever the tables hold. Null texts count as empty.
     """
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     rows = rows.where(where) if where is not None else rows
     chosen = rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") <= text_bytes).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over ``most`` rows
+    bounded = one.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes)
+    return bounded.select("doc_id", "text", "label").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -149,6 +195,40 @@ class Adam:
         return np.sign(x) * np.maximum(np.abs(x) - size * self.l1, 0) if self.l1 else x
 
 
+def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
+    """Minimises a smooth convex function, which returns its value and gradient."""
+    value, grad = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        d, kept = -grad, []
+        for s, y, r in reversed(past):
+            kept.append(r * (s @ d))
+            d = d - kept[-1] * y
+        if past:
+            s, y, r = past[-1]
+            d = d / (r * (y @ y))
+        for (s, y, r), a in zip(past, reversed(kept)):
+            d = d + (a - r * (y @ d)) * s
+        slope, step = grad @ d, 1.0 if past else 1.0 / max(1e-12, float(np.abs(grad).max()))
+        if slope >= -1e-14:
+            break
+        for _ in range(30):
+            new, new_grad = loss(x + step * d)
+            if new <= value + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = step * d, new_grad - grad
+        if s @ y > 1e-16:
+            past = [*past[-memory + 1 :], (s, y, 1 / (s @ y))]
+        x, done = x + s, value - new < 1e-7 * max(1.0, abs(value))
+        value, grad = new, new_grad
+        if done:
+            break
+    return x
+
+
 def platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the logistic curve that makes scores into probabilities; Newton steps with a weak prior."""
     a, b = 1.0, 0.0

@@ -1,25 +1,30 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
 Fingerprints that differ in at most ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` bit blocks, so
-every linked pair meets in a bucket for some choice of that many blocks; no pair is lost. Inside the buckets the
-fingerprints are stored vertically, one plane of 64-lane words for each bit. Shifting the planes by d lanes compares
-every row with the d-th after it; the differing bits are added up by carry-save counters, and a word of lanes is
-abandoned once all its lanes exceed the radius. Each bucket gives the edges of a spanning forest of its links only, and
-components of these edges are found by alternating large-star and small-star steps on tables.
-
-Copies share a fingerprint and are compared once. A bucket above ``bucket_rows`` fingerprints is dealt into parts, and
-each pair of parts is a task of its own.
+every linked pair meets in a bucket for some choice of that many blocks; no pair is lost, whatever the number of blocks.
+More fingerprints get more blocks, so that a bucket of unrelated ones stays small. Inside the buckets the fingerprints
+are stored vertically, one plane of 64-lane words for each bit. Shifting the planes by d lanes compares every row with
+the d-th after it; the differing bits are added up by carry-save counters, and a word of lanes is abandoned once all its
+lanes exceed the radius. Each bucket gives the edges of a spanning forest of its links only, and components of these
+edges are found by alternating large-star and small-star steps on tables.
+
+Copies share a fingerprint and are compared once. A bucket above ``bucket_rows`` fingerprints is dealt into parts, each
+of which has the bucket's first fingerprint too; what that joins needs no comparison with each other, and only the rest is
+compared with all parts (``_spanned``). Buckets, stars and groups of copies with a great share of all rows are joined
+by broadcasting their few keys (``join_hot``), so none is a single task's.
 
 A few bits of 64 find copies with few changes only. For a shingle similarity of 0.8 the same comparison runs on wide
-fingerprints of 256 bits (``wide_edges``), in which every distinct shingle counts once: at that similarity 15 % of the
-bits differ, of unrelated texts half. Their buckets are drawn bits, so a pair is found with a stated probability, which
-doesn't depend on the number of texts. What they find are candidates: their components are clusters, and inside each
-cluster texts are linked by the exact Jaccard similarity of their shingle sets (``alike_edges``).
+fingerprints of 256 bits, in which every distinct shingle counts once: at that similarity 15 % of the bits differ, of
+unrelated texts half. No choice of bit blocks is both exact and selective at so wide a radius, so the wide buckets are
+equal bands of smallest shingle hashes, which unrelated texts do not share however many there are. What they find are
+candidates: their components are clusters, and inside each cluster texts are linked by the exact Jaccard similarity of
+their shingle sets (``alike_edges``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -28,10 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, written
+from .common import WORD_SPACE, flat_bytes, forget, fresh, mix64, quoted, small_batches, written
+from .xxh64 import xxh64
 
 RADIUS = 4
+#: Bit blocks of few fingerprints, and of most; unrelated fingerprints that a bucket may have on average.
 BLOCKS = 6
+MOST_BLOCKS = 12
+BUCKET_MEAN = 16
 SHINGLE = 4
 SEED = 42
 #: Fingerprints of one bucket that a single comparison takes at most.
@@ -43,9 +52,11 @@ LOT = 1 << 16
 LANES = 4
 WIDE_SHINGLE = 5
 WIDE_RADIUS = 60
-#: Tables of drawn bits. Of 2,400 simulated pairs at Jaccard 0.8, 2,397 are within the radius and share a bucket.
-TABLES = 64
-TABLE_BITS = 13
+#: Bands of smallest hashes, and hashes of each: a pair at Jaccard 0.8 shares no band in 1 of 2,800 cases, at 0.85 in 1 of 88,000.
+BANDS = 20
+BAND_HASHES = 5
+#: A key with at least one in so many of all rows is hot; there are at most so many.
+HOT = 10_000
 
 #: Jaccard similarity of near copies, as a fraction.
 ALIKE = (4, 5)
@@ -56,42 +67,113 @@ ALIKE_BYTES = 16 << 20
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 with SEED of each word shingle of a whole text, in pieces of bounded size; fewer words are one shingle."""
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and ASCII white space
-    if not words:
-        return
-    joined = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    for a in range(0, n, 1 << 14):
-        yield np.array([digest(joined[s:e], SEED) for s, e in zip(starts[a : a + (1 << 14)], stops[a : a + (1 << 14)])], "<u8")
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in WORD_SPACE]] = True
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[_SPACE] = 32
+
+
+def _shingle_hashes(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 with SEED of each word shingle of whole texts, A-Z in lower case, words a space apart, and where each text's
+    begin (one entry more). Fewer words are one shingle."""
+    data, bounds = flat_bytes([t or "" for t in texts])
+    space = _SPACE[data]
+    kept = ~space
+    kept[1:] |= kept[:-1]  # of each run of white space the first
+    place = np.cumsum(kept)
+    data, bounds = _PLAIN[data[kept]], np.concatenate(([0], place[bounds[1:] - 1])) if len(texts) else bounds
+    space = data == 32
+    stops = np.flatnonzero(space)
+    stops = stops[np.concatenate(([stops[0] > 0], np.diff(stops) > 1))] if len(stops) else stops  # a text that begins with white space
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) if len(data) else stops
+    first = np.searchsorted(starts, bounds)  # word of each text
+    words = np.diff(first)
+    n = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
+    at = np.concatenate(([0], np.cumsum(n)))
+    word = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], n)
+    last = np.minimum(word + shingle, np.repeat(first[1:], n)) - 1
+    return xxh64(data, starts[word], stops[last], SEED), at
 
 
 def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct word shingles of a whole text; no word: none."""
-    return np.unique(np.concatenate([np.zeros(0, "<u8"), *map(np.unique, _shingle_hashes(text, shingle))]))
+    return np.unique(_shingle_hashes([text], shingle)[0])
+
+
+def _ones_in_each_bit(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers from each start to the next have each bit; no stretch is empty. Bits are bytes of eight
+    64-bit words, which are added up 255 numbers at a time."""
+    cuts = np.union1d(starts, np.arange(0, len(h), 255))
+    sums = np.empty((len(cuts), 64), np.uint8)
+    for c in range(0, len(cuts), 256):
+        lo, hi = cuts[c], cuts[c + 256] if c + 256 < len(cuts) else len(h)
+        bits = np.unpackbits(np.ascontiguousarray(h[lo:hi]).view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        sums[c : c + 256] = np.add.reduceat(bits, cuts[c : c + 256] - lo, axis=0).view(np.uint8)
+    return np.add.reduceat(sums, np.searchsorted(cuts, starts), axis=0, dtype=np.int64)
+
+
+def _lane(h: np.ndarray, k: int) -> np.ndarray:
+    return mix64(h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) if k else h
+
+
+def _majority(total: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(2 * total > n, axis=-1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint_lanes(text: str | None, shingle: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> np.ndarray:
     """SimHash of a whole text over word shingles in 64-bit lanes, repeats included unless ``distinct``; no word: zeros.
     The first lane's hashes are XXH64 with SEED, the others are scrambled from these."""
-    total, n = np.zeros((lanes, 64), np.int64), 0
-    pieces = _shingle_hashes(text, shingle)
-    if distinct:
-        whole = shingle_set(text, shingle)
-        pieces = (whole[a : a + (1 << 14)] for a in range(0, len(whole), 1 << 14))
-    for h in pieces:
-        n += len(h)
-        for k in range(lanes):
-            x = mix64(h + np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) if k else h
-            total[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * total > n, axis=1, bitorder="little").view("<u8")[:, 0]
+    h = shingle_set(text, shingle) if distinct else _shingle_hashes([text], shingle)[0]
+    return _simhashes(h, np.array([0, len(h)]), lanes)[0]
+
+
+def _simhashes(h: np.ndarray, bounds: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash of each stretch of hashes between two bounds, in lanes; zeros of an empty one."""
+    size = np.diff(bounds)
+    some = np.flatnonzero(size)
+    out = np.zeros((len(size), lanes), np.uint64)
+    for k in range(lanes if len(some) else 0):
+        total = _ones_in_each_bit(_lane(h, k), bounds[:-1][some])
+        out[some, k] = np.packbits(2 * total > size[some, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each set of shingle hashes, none of them empty, one key for each band: the smallest values under as many scramblings
+    as the band has hashes."""
+    key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(bounds) - 1, axis=0)
+    for k in range(BAND_HASHES):
+        least = np.stack([np.minimum.reduceat(h * f, bounds[:-1]) for f in _FACTORS[k::BAND_HASHES]], axis=1)
+        key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + least)
+    return key.view(np.int64)
+
+
+@dataclass
+class Prints:
+    """Of whole texts the fingerprints of SHINGLE-word shingles, repeats included, the wide ones of the distinct WIDE_SHINGLE-word
+    shingles, these shingles' bands (None of a text without words) and their numbers."""
+
+    fp: np.ndarray
+    wide: np.ndarray
+    bands: list[np.ndarray | None]
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Prints:
+        fours, bounds = _shingle_hashes(texts, SHINGLE)
+        sets = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):  # a shingle of one word more is told by two neighbours
+            h = fours[a:b]
+            x = np.sort(mix64(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]) if len(h) > 1 else h)
+            sets.append(x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x)
+        size = np.array([len(x) for x in sets], np.int64)
+        distinct, starts = np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+        keys = iter(bands(distinct, np.append(starts[:-1][size > 0], len(distinct))) if len(distinct) else ())
+        return cls(_simhashes(fours, bounds, 1)[:, 0], _simhashes(distinct, starts, LANES), [next(keys) if n else None for n in size.tolist()], size)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -103,20 +185,22 @@ def fingerprint_column(text: str = "text", shingle: int = SHINGLE) -> Column:
     """The fingerprint as a signed bigint."""
 
     def prints(texts):
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(_simhashes(*_shingle_hashes(texts.tolist(), shingle), 1)[:, 0].view(np.int64))
 
     prints.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(prints, "bigint")(F.col(text).cast("string"))
 
 
-def wide_column(text: str = "text", shingle: int = WIDE_SHINGLE, lanes: int = LANES) -> Column:
-    """The wide fingerprint, of distinct shingles, as an array of bigints."""
+def prints_column(text: str = "text") -> Column:
+    """fp, w0 to w3 (the wide fingerprint), bands (null of a text without words) and size (distinct shingles) of each whole text."""
 
     def prints(texts):
-        return pd.Series([fingerprint_lanes(t, shingle, lanes, distinct=True).view(np.int64) for t in texts])
+        p = Prints.of(texts.tolist())
+        return pd.DataFrame({"fp": p.fp.view(np.int64)} | {f"w{k}": p.wide[:, k].copy().view(np.int64) for k in range(LANES)} | {"bands": p.bands, "size": p.size})
 
-    prints.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(prints, "array<bigint>")(F.col(text).cast("string"))
+    prints.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    fields = ", ".join(f"w{k} bigint" for k in range(LANES))
+    return F.pandas_udf(prints, f"fp bigint, {fields}, bands array<bigint>, size bigint")(F.col(text).cast("string"))
 
 
 def _planes(prints: np.ndarray, spare: int) -> np.ndarray:
@@ -244,19 +328,64 @@ def forest(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndar
     return child, parent[child]
 
 
-def _dealt(keyed: DataFrame, bucket_rows: int) -> DataFrame:
-    """(group, node, ...) from (bucket, node, ...): a row for each bucket that a node shares with another one, and for each
-    part pair of a large bucket."""
-    sizes = keyed.groupBy("bucket").count().where("count > 1")
-    parts = F.ceil(F.col("count") / bucket_rows).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), parts).cast("int")
-    rest = [c for c in keyed.columns if c != "bucket"]
-    dealt = keyed.join(sizes, "bucket").select(*rest, "bucket", mine.alias("mine"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    return dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), *rest)
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and in ``count`` how many rows that key has at least.
 
+    Keys with at least one in HOT of all ``total`` rows are HOT at most: they are broadcast. The others are shuffled, and none
+    of them is large.
+    """
+    is_hot = F.col("count") * HOT >= total
+    hot = F.broadcast(facts.where(is_hot))
+    rest = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(facts.where(~is_hot), key, how))
+
+
+Compare = Callable[[DataFrame], DataFrame]
+
+
+def _spanned(keyed: DataFrame, compare: Compare, most_rows: int, most_size: int = 1 << 62) -> DataFrame:
+    """Edges (u > v) that span the links inside each bucket of ``keyed`` (bucket, node, size: one row each).
 
-def _compared(keyed: DataFrame, radius: int, lanes: list[str], bucket_rows: int) -> DataFrame:
-    """Edges (u > v) of nodes that span the links inside each bucket; ``lanes`` are the columns of the fingerprint."""
+    ``compare`` gives edges that span the links inside each group of (group, node). A bucket is a group; one of more than
+    ``most_rows`` nodes or a greater size is dealt into parts, which all have its first node. Nodes in one component
+    with the first are not compared again, the others are, with each part.
+    """
+    total = max(1, keyed.count())
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("all"), F.min("node").alias("pivot")).where("count > 1")
+    sizes = written(sizes.withColumn("parts", F.greatest(F.ceil(F.col("count") / most_rows), F.ceil(F.col("all") / most_size)).cast("int")), "buckets")
+    rows = written(join_hot(keyed.select("bucket", "node"), sizes.drop("all"), "bucket", total), "dealt")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pivots = sizes.where("parts > 1").select("bucket", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = rows.where("parts = 1 OR node != pivot").select("bucket", "node", part.alias("part")).unionByName(pivots)
+    edges = written(compare(dealt.select(F.xxhash64("bucket", "part").alias("group"), "node")).distinct(), "edges")
+    large = sizes.where("parts > 1")
+    if not large.isEmpty():
+        labels = components(edges)
+        firsts = large.select("bucket", "pivot").join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("first")), "pivot", "left").select("bucket", F.coalesce("first", "pivot").alias("first"))
+        firsts = large.select("bucket", "count").join(firsts, "bucket")
+        mine = rows.where("parts > 1").select("bucket", "node", "parts").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        mine = join_hot(mine, firsts, "bucket", total).withColumn("rest", F.col("label") != F.col("first")).drop("count", "first", "label")
+        mine = written(mine, "dealt")
+        forget(labels)
+        left = mine.where("rest").groupBy("bucket").agg(F.count("*").alias("n")).join(large.select("bucket", "count", "parts"), "bucket")
+        left = left.select("bucket", "count", F.ceil(F.col("parts") * F.col("n") / F.col("count")).cast("int").alias("lots"))
+        if not left.isEmpty():
+            lot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots")).cast("int")
+            both = join_hot(mine, left, "bucket", total)
+            across = both.select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+            along = both.where("rest").select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), lot.alias("lot"))
+            pairs = across.unionByName(along).select(F.xxhash64("bucket", "part", "lot", F.lit(2)).alias("group"), "node").distinct()
+            more = written(compare(pairs), "edges")
+            out = written(edges.unionByName(more).distinct(), "edges")
+            forget(edges, more)
+            edges = out
+        forget(mine)
+    forget(sizes, rows)
+    return edges
+
+
+def _sliced(radius: int, lanes: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (group, node, lanes of the fingerprint), sorted by group, edges (u > v) that span the links of each group."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,44 +394,54 @@ def _compared(keyed: DataFrame, radius: int, lanes: list[str], bucket_rows: int)
             a, b = rows[a, 1], rows[b, 1]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
 
-        held = np.zeros((0, 2 + len(lanes)), np.int64)
+        held, size = [], 0
         for batch in batches:
-            held = np.concatenate((held, np.stack([batch.column(k).to_numpy() for k in range(2 + len(lanes))], axis=1)))
-            if len(held) >= LOT and (cut := int(np.searchsorted(held[:, 0], held[-1, 0]))):
-                yield lot(held[:cut])
-                held = held[cut:]
-        if len(held):
-            yield lot(held)
-
-    grouped = _dealt(keyed, bucket_rows).select("group", "node", *lanes).repartition("group").sortWithinPartitions("group")
-    return grouped.mapInArrow(compare, "u bigint, v bigint").distinct()
-
-
-def near_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (u > v) between different fingerprints that span all links; ``prints`` has distinct values in column fp."""
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(2 + len(lanes))], axis=1))
+            size += len(held[-1])
+            if size >= LOT:
+                rows = np.concatenate(held)
+                cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+                if cut:
+                    yield lot(rows[:cut])
+                held, size = [rows[cut:]], len(rows) - cut
+        if size:
+            yield lot(np.concatenate(held))
+
+    return compare
+
+
+def near_edges(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Edges (u > v) between different fingerprints that span all links; ``prints`` has distinct values in column fp.
+    ``blocks``: None for as many as their number asks for; any number above the radius gives the same components."""
+    if blocks is None:
+        n, blocks = prints.count(), max(BLOCKS, radius + 2)
+        while blocks < MOST_BLOCKS and n >> (64 * (blocks - radius) // blocks) > BUCKET_MEAN:
+            blocks += 1
     if not 0 <= radius < blocks <= 64:
         raise ValueError("blocks must exceed radius")
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     part = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
     keys = [F.xxhash64(F.lit(k), *(part[i] for i in chosen)) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    return _compared(prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("node"), "fp"), radius, ["fp"], bucket_rows)
+    keyed = prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("node"), F.lit(1).alias("size"))
 
+    def compare(groups: DataFrame) -> DataFrame:
+        rows = groups.select("group", "node", F.col("node").alias("fp")).repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(_sliced(radius, ["fp"]), "u bigint, v bigint")
 
-def wide_edges(prints: DataFrame, radius: int = WIDE_RADIUS, tables: int = TABLES, bits: int = TABLE_BITS, lanes: int = LANES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Candidate edges (u > v) between nodes whose wide fingerprints are near; ``prints`` has node and wide, no two rows alike."""
-    drawn = np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * lanes), (tables, 1)), axis=1)[:, :bits]
-    names = [f"w{k}" for k in range(lanes)]
+    return _spanned(keyed, compare, bucket_rows)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_numpy()
-            wide = batch.column("wide").flatten().to_numpy().reshape(len(node), lanes)
-            each = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), axis=1, bitorder="little")
-            bucket = np.stack([(each[:, d].astype(np.int64) << np.arange(bits)).sum(axis=1) + (k << bits) for k, d in enumerate(drawn)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(node, tables)), *(pa.array(np.repeat(wide[:, k], tables)) for k in range(lanes))], ["bucket", "node", *names])
 
-    keyed = prints.select("node", "wide").mapInArrow(keys, "bucket bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names))
-    return _compared(keyed, radius, names, bucket_rows)
+def wide_edges(prints: DataFrame, radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Candidate edges (u > v) between nodes that share a band and whose wide fingerprints are near; ``prints`` has node, bands
+    and the lanes, one row a node."""
+    lanes = [f"w{k}" for k in range(LANES)]
+    keyed = prints.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("size"))
+
+    def compare(groups: DataFrame) -> DataFrame:
+        rows = groups.join(prints.select("node", *lanes), "node").select("group", "node", *lanes)
+        return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_sliced(radius, lanes), "u bigint, v bigint")
+
+    return _spanned(keyed, compare, bucket_rows)
 
 
 def alike_forest(groups: np.ndarray, sets: list[np.ndarray], alike: tuple[int, int] = ALIKE) -> tuple[list[int], list[int]]:
@@ -336,26 +475,32 @@ def alike_forest(groups: np.ndarray, sets: list[np.ndarray], alike: tuple[int, i
     return child, parent
 
 
-def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHINGLE, rows: int = ALIKE_ROWS) -> DataFrame:
+def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHINGLE, rows: int = ALIKE_ROWS, key: list[str] | None = None) -> DataFrame:
     """Edges (u > v) that span, inside each cluster, the pairs whose shingle sets have a Jaccard similarity of ALIKE or more.
 
-    ``texts``: node and text, also repeated; ``clusters``: node and root, one row a node. A large cluster is dealt into
-    parts, and each pair of parts is a task's.
+    ``texts``: node and text, also repeated; ``clusters``: node, root and size (of the shingle set), one row a node.
+    ``key``: columns that both have and that together tell a text's row, where node alone would be hot.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    key = key or ["node"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lot() -> pa.RecordBatch:
             a, b = alike_forest(np.array(groups), sets)
             a, b = np.array(nodes, np.int64)[a], np.array(nodes, np.int64)[b]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
 
-        groups, nodes, sets, held = [], [], [], 0
+        groups, nodes, sets, held, there = [], [], [], 0, set()
         for batch in batches:
-            for group, node, text in zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                if groups and group != groups[-1] and held > ALIKE_BYTES:
-                    yield lot()
-                    groups, nodes, sets, held = [], [], [], 0
+            for group, node, text in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "text"))):
+                if groups and group != groups[-1]:
+                    there = set()
+                    if held > ALIKE_BYTES:
+                        yield lot()
+                        groups, nodes, sets, held = [], [], [], 0
+                if node in there:
+                    continue
+                there.add(node)
                 groups.append(group)
                 nodes.append(node)
                 sets.append(shingle_set(text, shingle))
@@ -363,53 +508,63 @@ def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHING
         if len(groups) > 1:
             yield lot()
 
-    keyed = clusters.select(F.col("root").alias("bucket"), "node")
-    dealt = _dealt(keyed, rows)
-    one = texts.join(clusters.select("node"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    grouped = dealt.join(one, "node").select("group", "node", "text").repartition("group").sortWithinPartitions("group")
-    return grouped.mapInArrow(compare, "u bigint, v bigint").distinct()
+    where = clusters.select("node", *(k for k in key if k != "node"))
 
+    def compare(groups: DataFrame) -> DataFrame:
+        named = groups.join(where, "node") if key != ["node"] else groups
+        found = texts.select(*key, "text").join(named, key).select("group", "node", "text")
+        return found.repartition("group").sortWithinPartitions("group").mapInArrow(compared, "u bigint, v bigint")
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of the edges (u > v) reaches. Alternating large and small stars; each
-    round is a table in the shared folder, so nothing is recomputed beyond a round."""
+    size = F.col("size") if "size" in clusters.columns else F.lit(1)
+    return _spanned(clusters.select(F.col("root").alias("bucket"), "node", size.alias("size")), compare, rows, ALIKE_BYTES // 8)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node of the edges (u > v) reaches. Alternating large and small stars, until
+    nothing changes; each round is a table in the shared folder, so nothing is recomputed beyond a round."""
     mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).alias("mark")
     now = written(edges.select("u", "v"), "edges")
     before = now.select(mark).first()[0]
-    for _ in range(most_rounds):
-        if not before["n"]:
-            break
+    while before["n"]:
+        total = 2 * before["n"]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = now.select(mark).first()[0]
-        if after == before:
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")).select("u", F.least("u", "m").alias("m"), "count")
+        large = join_hot(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
+        small = join_hot(large, least, "u", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(large, now)
+        now, last = after, before
+        before = now.select(mark).first()[0]
+        if before == last:
             break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.shared_path = now.shared_path
+    return out
 
 
-def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, blocks: int | None = None, shingle: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, fp (bigint), component_id of every document: the smallest doc_id that its links reach, itself included.
 
     Null text and text without words have fingerprint zero and are linked like any other. Null doc_id: the row is kept,
-    and never names a component; a component without any id has a null component_id. Repeated rows keep a row each.
-    Empty input: no row. Other columns are not read.
+    and never names a component; a component without any id has a null component_id. Repeated rows keep a row each, and
+    equal ids need no order. Very long texts are hashed in pieces. Empty input: no row. Other columns, whatever their
+    names, are not read.
     """
     small_batches(docs.sparkSession)
     keyed = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(text, shingle).alias("fp")), "fingerprints")
-    prints = keyed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    total = max(1, keyed.count())
+    prints = written(keyed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("count")), "prints")
     small_batches(docs.sparkSession, 8192)
-    roots = components(near_edges(prints.select("fp"), radius, blocks, bucket_rows))
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(names, "root").select("fp", "component_id")
-    return keyed.join(labels, "fp").select("doc_id", "fp", "component_id")
+    near = near_edges(prints.select("fp"), radius, blocks, bucket_rows)
+    roots = components(near)
+    rooted = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "count", "least", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("count"))
+    labels = join_hot(rooted.select("root", "fp", F.col("count").alias("copies")), names, "root", total).select("fp", "component_id", F.col("copies").alias("count"))
+    labels = written(labels, "labels")
+    forget(near, roots, prints)
+    return join_hot(keyed, labels, "fp", total).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str = "fp") -> Column:
@@ -419,36 +574,48 @@ def hex16(fp: str = "fp") -> Column:
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, wide_radius: int = WIDE_RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The documents of which one stays for each group: the row with the smallest doc_id; of repeated rows one.
 
-    A group is what links join: fingerprints of four-word shingles within ``radius`` bits, and wide fingerprints of
-    five-word shingles within ``wide_radius`` whose exact Jaccard similarity is 0.8 or more. Texts without words are alike. A row without an id
-    stays only if no row of its group has one. Columns are those of the input.
+    A group is what links join: fingerprints of four-word shingles within ``radius`` bits, and texts whose sets of five-word
+    shingles have an exact Jaccard similarity of 0.8 or more. Texts without words are alike. A row without an id stays
+    only if no row of its group has one; of such rows the one with the smaller text hash. Equal ids: a text each. Texts are
+    the same if two 64-bit hashes of them are. Very long texts are hashed in pieces. Empty input: no row. Columns are
+    those of the input, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    text_hash = F.xxhash64(F.col(text).cast("string"))
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("node"), fingerprint_column(text).alias("fp"), wide_column(text).alias("wide"))
-    keyed = written(keyed, "fingerprints")
+    hashes = (F.xxhash64(F.col(text).cast("string")), F.xxhash64(F.lit(1), F.col(text).cast("string")))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), hashes[0].alias("node"), hashes[1].alias("again"), prints_column(text).alias("p"))
+    keyed = written(keyed.select("doc_id", "node", "again", "p.*"), "fingerprints")
     small_batches(spark, 2048)
-    texts = keyed.groupBy("node", "fp", "wide").agg(F.lit(1).alias("one")).drop("one")
-    found = {}
-    for print_, edges in (("fp", lambda p: near_edges(p.select("fp"), radius, bucket_rows=bucket_rows)), ("wide", lambda p: wide_edges(p, wide_radius, bucket_rows=bucket_rows))):
-        first = texts.groupBy(print_).agg(F.min("node").alias("node"))  # one text stands for those with its fingerprint
-        same = texts.join(first.withColumnRenamed("node", "first"), print_).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-        made = edges(first)
-        if print_ == "fp":  # from fingerprints to the texts that stand for them
-            made = made.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found[print_] = same.union(made).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    clusters = components(found["wide"])
-    clusters = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
+    same = [c for c in keyed.columns if c != "doc_id"]
+    every = written(keyed.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "texts")
+    # two texts of one hash are told apart by the other: the first stands in the comparisons, the others are groups of their own
+    twins = every.groupBy("node").agg(F.min("again").alias("main"), F.count("*").alias("n")).where("n > 1").drop("n")
+    texts = every.join(twins, "node", "left").where("main IS NULL OR main = again").drop("main")
+    first = written(texts.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("count")), "prints")
+    total = max(1, every.count())
+    copies = join_hot(texts.select("fp", "node"), first.withColumnRenamed("node", "first"), "fp", total).where("node != first").select(F.greatest("node", "first").alias("u"), F.least("node", "first").alias("v"))
+    near = near_edges(first.select("fp"), radius, bucket_rows=bucket_rows)
+    made = near.join(first.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    close = copies.union(made.select(F.greatest("a", "b"), F.least("a", "b")))
+    wide = written(texts.select("node", "bands", *(f"w{k}" for k in range(LANES))), "wide")
+    candidates = wide_edges(wide, wide_radius, bucket_rows=bucket_rows)
+    members = components(candidates)
+    forget(candidates, wide)
+    clusters = members.union(members.select(F.col("root").alias("node"), "root").distinct())
+    null, zero = F.isnull("least").alias("none"), F.coalesce("least", F.lit(0)).alias("id")
+    clusters = written(clusters.join(texts.select("node", "again", "size", null, zero), "node"), "clusters")
     small_batches(spark)
-    alike = written(alike_edges(docs.select(text_hash.alias("node"), F.col(text).cast("string").alias("text")), clusters), "alike")
+    named = docs.select(F.isnull(doc_id).alias("none"), F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), hashes[0].alias("node"), hashes[1].alias("again"), F.col(text).cast("string").alias("text"))
+    alike = alike_edges(named, clusters, key=["none", "id", "node", "again"])
+    forget(members, clusters)
     small_batches(spark, 2048)
-    found["wide"] = alike
-    linked = found["fp"].union(found["wide"]).distinct()
-    roots = components(linked)
-    named = keyed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = F.min(F.struct(F.isnull("doc_id").alias("k0"), F.coalesce("doc_id", F.lit(0)).alias("k1"), "node")).alias("s")
-    keep = named.groupBy("root").agg(first).select(*(F.col(f"s.{f}").alias(k) for f, k in (("k0", "__k0"), ("k1", "__k1"), ("node", "__k2"))))
-    keys = {"__k0": F.isnull(doc_id), "__k1": F.coalesce(F.col(doc_id), F.lit(0)), "__k2": text_hash}
-    plain = docs.select(docs.columns)
-    return plain.withColumns(keys).join(keep, list(keys), "left_semi").dropDuplicates(list(keys)).select(docs.columns)
+    roots = components(close.union(alike).distinct())
+    grouped = every.join(roots, "node", "left").join(twins, "node", "left")
+    odd = F.when(F.col("main").isNotNull() & (F.col("main") != F.col("again")), F.col("again"))
+    grouped = grouped.select(F.when(odd.isNull(), F.coalesce("root", "node")).otherwise(F.col("node")).alias("root"), odd.alias("odd"), null, zero, "node", "again")
+    keys = fresh(docs, "none", "id", "node", "again")
+    keep = grouped.groupBy("root", "odd").agg(F.min(F.struct("none", "id", "node", "again")).alias("s")).select(*(F.col(f"s.{f}").alias(k) for f, k in zip(("none", "id", "node", "again"), keys)))
+    keep = written(keep, "kept")
+    forget(near, first, alike, roots, every, keyed)
+    mine = dict(zip(keys, (F.isnull(doc_id), F.coalesce(F.col(doc_id), F.lit(0)), *hashes)))
+    return docs.select("*", *(c.alias(k) for k, c in mine.items())).join(keep, keys, "left_semi").dropDuplicates(keys).select(*(F.col(quoted(c)) for c in docs.columns))
