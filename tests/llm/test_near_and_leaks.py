@@ -244,42 +244,71 @@ def test_contamination_query_finds_verbatim_items(spark):
     assert want and {(r.doc_id, r.item_id) for r in queries()["op10_template_decontamination"](spark, sf).collect()} == want
 
 
-@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 1000, "b": 1}, {f"s{k}": (k % 7) ** 3 + 1 for k in range(60)}])
-def test_pfair_deviation_is_below_a_block(weights):
-    q = P.quotas(weights, 128)
-    assert sum(q.values()) == 128 and all(q.values())
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 1, "b": 1, "c": 1}, {"a": 3, "b": 2, "c": 2}, {"a": 10_000, "b": 1}, {f"s{k}": 1 for k in range(20)}, {f"s{k}": (k % 7) ** 3 + 1 for k in range(60)}])
+def test_pfair_deviation_from_the_weights_is_below_a_block(weights):
+    """After any number of slots, against the weights themselves; periods that don't divide the whole, over 10^6 slots at their ends."""
+    q = P.reduced(weights)
+    slots, total = sum(q.values()), sum(weights.values())
     had = dict.fromkeys(q, 0)
     for s, j, t in P.period(q):
-        assert j == had[s]
+        assert j == had[s] and j * slots // q[s] <= t < -(-(j + 1) * slots // q[s])
         had[s] += 1
-        assert all(abs(had[x] * 128 - q[x] * (t + 1)) < 128 for x in q)
+        assert all(abs(had[x] * total - weights[x] * (t + 1)) < total for x in q)
+    n = 10**6
+    at = {s: [] for s in q}
+    for s, j, t in P.period(q):
+        at[s].append(t)
+    for s, own in at.items():
+        got = n // slots * len(own) + sum(t < n % slots for t in own)
+        assert abs(got * total - weights[s] * n) < total
 
 
 def test_pfair_refuses_what_it_cannot_plan(spark):
-    for weights in ({f"s{k}": 1 for k in range(200)}, {"a": 0}, {"a": 1.5}):
+    for weights in ({"a": P.MOST_SLOTS, "b": 1}, {"a": 0}, {"a": 1.5}):
         with pytest.raises(ValueError):
-            P.quotas(weights, 128)
+            P.reduced(weights)
+    assert P.reduced({"a": 6 * P.MOST_SLOTS, "b": 3 * P.MOST_SLOTS}) == {"a": 2, "b": 1}
     docs = spark.createDataFrame([(1, "a")], "doc_id long, source string")
     with pytest.raises(ValueError):
         P.pfair_slots(docs, {"b": 1})
 
 
+def test_many_sources(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('s', id % 3000) AS source")
+    got = P.pfair_slots(docs, block_docs=1).collect()
+    assert len({r.mix_slot for r in got}) == len(got) == 6000
+    assert P.tempered({"a": 10**12, "b": 1}) == {"a": 1024, "b": 1}
+
+
 def test_mix_edges(spark):
     rows = [(k, "hot", "t" * 10) for k in range(90)] + [(k, "b", "u") for k in range(90, 100)] + [(None, None, None), (None, None, None), (100, None, ""), (5, "b", "u"), (5, "b", "u")]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "doc_id AS mix_slot", "text AS count", "source AS __x")
-    mixed = P.pfair_slots(docs, {"hot": 1, "b": 2, None: 1}, block_docs=2, resolution=8)
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "doc_id AS mix_slot", "text AS count", "source AS __x", "text AS _source", "doc_id AS _Q", "text AS _before", "1 AS _slot")
+    weights = {"hot": 1, "b": 2, None: 1}
+    mixed = P.pfair_slots(docs, weights, block_docs=2)
     got = mixed.collect()
-    assert len(got) == len(rows) and mixed.columns == ["doc_id", "source", "text", "count", "__x", "mix_block", "mix_slot", "mix_place"]
+    assert len(got) == len(rows) and mixed.columns == [c for c in docs.columns if c != "mix_slot"] + ["mix_block", "mix_slot", "mix_place"]
+    assert all((r._source, r._Q, r._before, r._slot) == (r.text, r.doc_id, r.text, 1) for r in got)
     assert len({(r.mix_slot, r.mix_place) for r in got}) == len(rows)
     blocks = {}
     for r in got:
         blocks.setdefault((r.source, r.mix_block), set()).add(r.mix_slot)
     assert all(len(v) == 1 for v in blocks.values())
     slots = {s: sorted(v.copy().pop() for (x, _), v in blocks.items() if x == s) for s in ("hot", "b", None)}
-    for s, w in (("hot", 2), ("b", 4), (None, 2)):
+    for s, w in weights.items():
         for t in range(max(slots[s])):
-            assert abs(sum(x <= t for x in slots[s]) * 8 - w * (t + 1)) < 8
+            assert abs(sum(x <= t for x in slots[s]) * 4 - w * (t + 1)) < 4
     assert P.pfair_slots(docs.limit(0)).collect() == []
+    again = P.pfair_slots(docs.drop("mix_slot").withColumn("mix_place", docs.text), weights, names=("x1", "x2", "x3"))
+    assert again.where("mix_place <=> text").count() == len(rows) and "x2" in again.columns
+
+
+def test_ids_that_many_rows_share_are_split(spark, monkeypatch):
+    monkeypatch.setattr(P, "SAME_ID", 10)
+    docs = spark.range(300).selectExpr("if(id < 200, cast(null AS bigint), id) AS doc_id", "'a' AS source", "cast(id % 50 AS string) AS text").unionByName(spark.range(40).selectExpr("7L AS doc_id", "'b' AS source", "'same' AS text"))
+    got = P.pfair_slots(docs, block_docs=1).collect()
+    assert sorted((r.source, r.mix_block) for r in got) == [("a", k) for k in range(300)] + [("b", k) for k in range(40)]
+    plan = P.pfair_slots(docs, block_docs=1)._jdf.queryExecution().toString()
+    assert "_split" in plan
 
 
 def test_mix_query_against_sql(spark, sf):
