@@ -2,24 +2,28 @@
 
 The regression's inputs are shares: of a text's words the share in each bucket (words and pairs of words), of its bytes
 the share in each bucket (runs of three and four). It is fitted on labelled rows, made into probabilities by a logistic
-curve on rows kept aside, and held against a fixed threshold.
+curve on rows kept aside, and held against a fixed threshold. Of equal windows the words themselves are compared, not
+their hashes alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, WORD_SPACE, Adam, flat_bytes, mix64, platt, sampled_labels, sigmoid, small_batches, span_hashes, texts_of, word_spans
+from .common import _SPACE, WORD_SPACE, flat_bytes, lbfgs, mix64, platt, sampled_labels, sigmoid, small_batches, texts_of
 
 BITS = 16
 MOST_LABELLED = 2500
-ROUNDS = 150
+ROUNDS = 40
+#: Weight of half the squared coefficients against the mean loss of a row.
+PRIOR = 1e-6
 #: A text stays if its calibrated probability of label 1 is at least this.
 KEEP = 0.5
 LEAST_WORDS = 10
@@ -47,21 +51,27 @@ def _runs(data: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lot:
-    """What a batch of texts has, in flat arrays."""
+    """What a batch of texts has, in flat arrays. Equal words, and no others, have the same number within the lot."""
 
     data: np.ndarray
     starts: np.ndarray
-    word_starts: np.ndarray
+    words: np.ndarray
     hashes: np.ndarray
     word_doc: np.ndarray
     n_words: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str]) -> Lot:
+        import xxhash
+
         data, starts = flat_bytes(texts)
-        a, b = word_spans(data)
-        doc = np.searchsorted(starts, a, side="right") - 1
-        return cls(data, starts, a, span_hashes(data, a, b), doc, np.bincount(doc, minlength=len(texts)).astype(np.int64))
+        raw = data.tobytes()
+        split = [raw[a : b - 1].split() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]  # of bytes: ASCII white space
+        n_words = np.array([len(w) for w in split], np.int64)
+        number = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        words = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        each = np.fromiter(map(xxhash.xxh64_intdigest, number), np.uint64, len(number))
+        return cls(data, starts, words, each[words], np.repeat(np.arange(len(texts)), n_words), n_words)
 
     def features(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each kind of feature: buckets, their documents, and how many a document has."""
@@ -81,25 +91,24 @@ class Lot:
         return out
 
     def repeated(self, window: int = WINDOW) -> np.ndarray:
-        """Of each text the words in windows that the text has twice or more (equal 64-bit hashes), the first included."""
-        n, words = len(self.n_words), len(self.hashes)
+        """Of each text the words in windows that the text has twice or more, the first included. Windows of one hash are
+        compared word by word."""
+        n, words = len(self.n_words), len(self.words)
         if words < window:
             return np.zeros(n, np.int64)
         ends = words - window + 1
-        h = self.hashes[:ends].copy()
-        for k in range(1, window):
-            h = h * np.uint64(0xD6E8FEB86659FD93) + self.hashes[k : k + ends]
-        doc = self.word_doc[:ends]
-        h = mix64(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        inside = np.flatnonzero(doc == self.word_doc[window - 1 :])
-        h, doc = h[inside], doc[inside]
-        order = np.argsort(h, kind="stable")
-        same = (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])
-        twice = np.zeros(len(h), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        h = self.word_doc[:ends].astype(np.uint64)
+        for k in range(window):
+            h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + self.words[k : k + ends].astype(np.uint64))
+        inside = np.flatnonzero(self.word_doc[:ends] == self.word_doc[window - 1 :])
+        order = np.argsort(h[inside], kind="stable")
+        same = h[inside][order][1:] == h[inside][order][:-1]
+        at = inside[order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]]  # no other window can have an equal one
+        whole = np.stack([self.word_doc[at], *(self.words[at + k] for k in range(window))])
+        order = np.lexsort(whole)
+        same = (whole[:, order][:, 1:] == whole[:, order][:, :-1]).all(axis=0)
+        at = at[order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]] if len(at) else at
         cover = np.zeros(words + 1, np.int64)
-        at = inside[twice]
         np.add.at(cover, at, 1)
         np.add.at(cover, at + window, -1)
         return np.bincount(self.word_doc, weights=np.cumsum(cover[:-1]) > 0, minlength=n).astype(np.int64)
@@ -144,19 +153,24 @@ def fit(rows: list[tuple[list[np.ndarray], list[np.ndarray]]], labels: np.ndarra
     learn = np.flatnonzero(~aside)
     if not len(learn) or labels[learn].min() == labels[learn].max():  # nothing to tell apart: all stay
         return QualityModel(weights, 4.0, 1.0, 0.0)
-    doc = np.concatenate([np.full(len(b), d, np.int32) for d, (bs, _) in enumerate(rows) for b in bs])
     feature = np.concatenate([b.astype(np.int32) + (k << BITS) for bs, _ in rows for k, b in enumerate(bs)])
     share = np.concatenate([s for _, ss in rows for s in ss])
-    y, n = labels.astype(np.float64), len(rows)
-    mine = ~aside
-    w, b = np.zeros(kinds << BITS), np.array([np.log((y[learn].mean() + 1e-3) / (1 - y[learn].mean() + 1e-3))])
-    step_w, step_b = Adam(w.shape, 0.5), Adam(1, 0.1)
-    for _ in range(rounds):
-        z = b[0] + np.bincount(doc, weights=w[feature] * share, minlength=n)
+    size = np.array([sum(map(len, bs)) for bs, _ in rows], np.int64)
+    known, place = np.unique(feature, return_inverse=True)
+    doc, n = np.repeat(np.arange(len(rows), dtype=np.int32), size), len(rows)
+    y, mine = labels.astype(np.float64), ~aside
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x[-1] + np.bincount(doc, weights=x[place] * share, minlength=n)
         g = np.where(mine, sigmoid(z) - y, 0) / len(learn)
-        w = step_w.step(w, np.bincount(feature, weights=g[doc] * share, minlength=len(w)) + 1e-6 * w)
-        b = step_b.step(b, np.array([g.sum()]))
-    z = b[0] + np.bincount(doc, weights=w[feature] * share, minlength=n)
+        grad = np.append(np.bincount(place, weights=g[doc] * share, minlength=len(known)), g.sum())
+        grad[:-1] += PRIOR * x[:-1]
+        return float(np.logaddexp(0, np.where(y > 0, -z, z))[learn].mean() + PRIOR / 2 * x[:-1] @ x[:-1]), grad
+
+    x = lbfgs(loss, np.append(np.zeros(len(known)), np.log((y[learn].mean() + 1e-3) / (1 - y[learn].mean() + 1e-3))), rounds)
+    w = np.zeros(kinds << BITS)
+    w[known], b = x[:-1], x[-1:]
+    z = b[0] + np.bincount(doc, weights=x[place] * share, minlength=n)
     slope, offset = platt(z[aside], y[aside]) if aside.any() else (1.0, 0.0)
     if slope <= 0:
         slope, offset = 1.0, 0.0
@@ -192,8 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 def quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability of every row.
 
-    Null text: no word, so the base rules fail it. Null ids and repeated rows: a row each. Empty input: no row. Other
-    columns are not read.
+    Null text: no word, so the base rules fail it. Null ids and repeated rows: a row each; a probability of exactly ``keep``
+    stays. Very long texts are judged whole, in one batch of their own, with memory in proportion. Empty input: no row.
+    Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -243,4 +243,30 @@ def test_sample_is_bounded_and_whole(spark):
     docs = spark.createDataFrame([(k % 10, "t" * k) for k in range(20)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(10)] + [(3, 0), (None, 1), (4, None)], "doc_id long, toxic int")
     got = common.sampled_labels(labels, docs, "toxic", 4).collect()
-    assert len({r.doc_id for r in got}) == 4 and len(got) == 8 and all(r.label == r.doc_id % 2 for r in got)
+    assert len({r.doc_id for r in got}) == 4 == len(got) and all(r.label == r.doc_id % 2 for r in got)
+
+
+def _thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_no_two_words_share_a_number():
+    """Words that a polynomial modulo 2^64 can't tell apart, whatever its base."""
+    word = _thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = f"x x1 x2 x3 {word} y x x1 x2 x3 {other} z"
+    lot = quality_lr.Lot.of([text])
+    got = lot.counts([text])
+    assert (int(got["n_words"][0]), int(got["n_repeat_words"][0])) == (12, 0) == (slow_counts(text)[0], slow_counts(text)[4])
+    data = np.frombuffer(f"{word} {other} ".encode(), np.uint8)
+    for n in (8, 64, 511, 512, 513, 2048):
+        h = common.span_hashes(data, np.array([0, 2049]), np.array([n, 2049 + n]))
+        assert h[0] != h[1]
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(k % 10, "t" * (k % 7 + 1)) for k in range(200)], "doc_id long, text string").union(spark.sql("SELECT 3L, repeat('t', 500)"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    assert common.sampled_labels(labels, docs, "toxic", 2).count() == 2
+    got = common.sampled_labels(labels, docs, "toxic", 100, most_bytes=20, text_bytes=100).collect()
+    assert len({r.doc_id for r in got}) == len(got) and 0 < sum(len(r.text) for r in got) <= 20
