@@ -85,6 +85,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: A key with at least one in so many of all rows is hot; there are at most so many.
+HOT = 10_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key and in ``count`` how many rows that key has at least.
+
+    Keys with at least one in HOT of all ``total`` rows are HOT at most: they are broadcast. The others are shuffled, and none
+    of them is large.
+    """
+    is_hot = F.col("count") * HOT >= total
+    hot = F.broadcast(facts.where(is_hot))
+    rest = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(facts.where(~is_hot), key, how))
+
+
 def learn_part(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo: the split that the held-out rows are told by. A null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -229,13 +245,13 @@ def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
     return x
 
 
-def platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def platt(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray | float = 1.0) -> tuple[float, float]:
     """Slope and offset of the logistic curve that makes scores into probabilities; Newton steps with a weak prior."""
     a, b = 1.0, 0.0
     for _ in range(50):
         p = sigmoid(a * scores + b)
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - labels) * scores).sum() + 0.01 * (a - 1), (p - labels).sum() + 0.01 * b])
+        w = weights * (p * (1 - p) + 1e-9)
+        g = np.array([(weights * (p - labels) * scores).sum() + 0.01 * (a - 1), (weights * (p - labels)).sum() + 0.01 * b])
         h = np.array([[(w * scores * scores).sum() + 0.01, (w * scores).sum()], [(w * scores).sum(), w.sum() + 0.01]])
         d = np.linalg.solve(h, g)
         d *= min(1.0, 2.0 / max(1e-9, np.abs(d).max()))

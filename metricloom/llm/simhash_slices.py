@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, flat_bytes, forget, fresh, mix64, quoted, small_batches, written
+from .common import WORD_SPACE, flat_bytes, forget, fresh, join_hot, mix64, quoted, small_batches, written
 from .xxh64 import xxh64
 
 RADIUS = 4
@@ -55,9 +55,6 @@ WIDE_RADIUS = 60
 #: Bands of smallest hashes, and hashes of each: a pair at Jaccard 0.8 shares no band in 1 of 2,800 cases, at 0.85 in 1 of 88,000.
 BANDS = 20
 BAND_HASHES = 5
-#: A key with at least one in so many of all rows is hot; there are at most so many.
-HOT = 10_000
-
 #: Jaccard similarity of near copies, as a fraction.
 ALIKE = (4, 5)
 #: Texts of one cluster that are compared exactly by a task at most, in each of two parts, and bytes of text held for that.
@@ -328,18 +325,6 @@ def forest(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndar
     return child, parent[child]
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``facts``, which has one row a key and in ``count`` how many rows that key has at least.
-
-    Keys with at least one in HOT of all ``total`` rows are HOT at most: they are broadcast. The others are shuffled, and none
-    of them is large.
-    """
-    is_hot = F.col("count") * HOT >= total
-    hot = F.broadcast(facts.where(is_hot))
-    rest = rows.join(F.broadcast(facts.where(is_hot).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(facts.where(~is_hot), key, how))
-
-
 Compare = Callable[[DataFrame], DataFrame]
 
 
