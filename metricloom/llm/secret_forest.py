@@ -1,8 +1,11 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of keys and digests inside a word. The forest sees its length, its
-transitions between kinds of characters, how much of it common words cover, the path it was found under and the words
-around it, and is trained on labelled findings. Everything is DataFrame operations; the forest is Spark's own.
+A candidate is a run of 16 or more characters of keys and digests inside a word, ended by an assignment sign, or the value,
+of six characters on, that is assigned to a telling name. The forest sees its length, its transitions between kinds of
+characters, how much of it a dictionary covers, the path it was found under and the words around it, and is trained on
+labelled findings. The path is the last one named in the 50 words before the candidate, else a column of the document.
+The dictionary is a table of words; unless one is given it is made of the documents themselves. Everything is DataFrame
+operations; the forest is Spark's own.
 """
 
 from __future__ import annotations
@@ -13,90 +16,120 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
+from .common import join_hot, written
+
+RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
 SECRET_FROM = 0.5
-TREES, DEPTH, SEED = 32, 7, 11
-
-#: Words that stand for themselves inside names and placeholders.
-COMMON = (
-    "the and for that with this from have your here test example sample demo dummy fake mock none null true false name value path file user data "
-    "index page list item type class function return string number token secret password key api auth access private public config default change "
-    "insert replace todo xxxx abcd 1234 0000 aaaa home usr var lib src main build report version release http https www com org net html json yaml"
-).split()
-_TELLING = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|auth|credential|private.?key|bearer)"
-_HARMLESS = r"(?i)(sha\d*|hash|commit|md5|checksum|digest|uuid|guid|revision|etag|fingerprint|build|version|ref)"
-_PLACEHOLDER = r"(?i)(example|sample|dummy|fake|mock|placeholder|your|changeme|xxxx|redacted)"
+TREES, DEPTH, SEED = 48, 9, 11
+#: Documents that a word of the dictionary must be in, and letters of it and of the parts that are looked up.
+LEAST_DOCUMENTS = 3
+PART = "[A-Z]?[a-z]{3,}|[A-Z]{4,}"
+DICTIONARY_WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z]?[a-z]{3,23}(?![A-Za-z0-9+/_=-])"
+#: Words before a candidate that a path is looked for in.
+PATH_WORDS = 50
+
+_NAMES = "secret|token|passw|pwd|passphrase|api.?key|access.?key|auth|credential|private.?key|bearer"
+#: A telling name, an assignment sign, and the value up to the end of its word.
+ASSIGNED = f"(?i)({_NAMES})[A-Za-z0-9_.-]*[\"'`]?[ ]?(=>|:=|=|:)[ ]?[\"'`]?([^ \"'`,;()<>]{{6,}})[\"'`,;)]*\\z"
+_TELLING = f"(?i)({_NAMES})"
+_HARMLESS = r"(?i)(sha\d*|hash|commit|md5|checksum|digest|uuid|guid|revision|etag|fingerprint|build|version|ref|trace|request)"
+_PLACEHOLDER = r"(?i)(example|sample|dummy|fake|mock|placeholder|your|changeme|xxxx|redacted|required|optional|getenv|environ|config|none|null)"
 _QUIET_PATH = r"(?i)(^|[/_.\-])(tests?|examples?|samples?|docs?|fixtures?|mocks?)([/_.\-]|$)"
+_PATH = r"^[\"'(]?[A-Za-z0-9_.\-]*/[A-Za-z0-9_./\-]*\.[A-Za-z0-9]{1,5}[\"'),:;]?$"
 
 #: Columns of a finding: the candidate, its word, two words before and one after it, the path, all strings.
 FINDING = ("candidate", "word", "before2", "before1", "after", "path")
 
 
 def features() -> dict[str, Column]:
-    """Numbers of a finding; null strings count as empty."""
+    """Numbers of a finding, which also has ``covered``, its letters in dictionary words; null strings count as empty."""
     text = {c: F.coalesce(F.col(c), F.lit("")) for c in FINDING}
     c, n = text["candidate"], F.greatest(F.length("candidate"), F.lit(1)).cast("double")
     share = lambda pattern: F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0)) / n
     has = lambda column, pattern: F.coalesce(column.rlike(pattern), F.lit(False)).cast("double")
     around = F.concat_ws(" ", text["before2"], text["before1"], F.call_function("substring_index", text["word"], c, F.lit(1)))
-    covered = 1 - F.length(F.regexp_replace(F.lower(c), "|".join(sorted(COMMON, key=lambda w: (-len(w), w))), "")) / n
     return {
         "length": F.length(c).cast("double"),
-        "digits": share("[0-9]"), "uppers": share("[A-Z]"), "marks": share(r"[+/_=\-]"), "vowels": share("(?i)[aeiou]"),
-        "hex": has(c, "^[0-9a-fA-F]+$"), "digits_only": has(c, "^[0-9]+$"), "letters_only": has(c, "^[A-Za-z]+$"),
+        "digits": share("[0-9]"), "uppers": share("[A-Z]"), "marks": share(r"[+/_=\-]"), "others": share(r"[^A-Za-z0-9+/_=\-]"), "vowels": share("(?i)[aeiou]"),
+        "hex": has(c, "^[0-9a-fA-F]+$"), "digits_only": has(c, "^[0-9]+$"), "letters_only": has(c, "^[A-Za-z]+$"), "upper_digits": has(c, "^[A-Z0-9]+$"),
         "letter_digit": share("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"), "case": share("[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
         "vowel_consonant": share("(?i)[aeiou](?=[b-df-hj-np-tv-z])|[b-df-hj-np-tv-z](?=[aeiou])"), "doubled": share(r"(.)(?=\1)"),
         "different": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "dictionary": covered,
-        "slashes": F.regexp_count(text["word"], F.lit("/")).cast("double"), "dashes": F.regexp_count(c, F.lit("-")).cast("double"),
+        "dictionary": F.least(F.coalesce(F.col("covered"), F.lit(0)) / n, F.lit(1.0)),
+        "slashes": F.regexp_count(text["word"], F.lit("/")).cast("double"), "dashes": F.regexp_count(c, F.lit("-")).cast("double"), "underlines": F.regexp_count(c, F.lit("_")).cast("double"),
         "uuid": has(c, "^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"),
         "quiet_path": has(text["path"], _QUIET_PATH),
         "telling": has(around, _TELLING), "harmless": has(around, _HARMLESS), "placeholder": has(F.concat_ws(" ", around, c, text["after"]), _PLACEHOLDER),
-        "assigned": has(around, r"[=:]\s*[\"']?$|[=:]$|[=:] [\"']?$"), "quoted": has(text["word"], "[\"'`]"),
+        "assigned": has(around, "(=>|:=|=|:)[ ]?[\"'`]?$"), "quoted": has(text["word"], "[\"'`]"),
     }
 
 
-def seed_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """Labelled findings made by rule: ``n`` rows over kinds of secrets and of false positives, the same each time."""
+def dictionary(docs: DataFrame, text: str = "text", least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(word): the lower-case words of four letters or more that stand alone in at least ``least`` documents."""
+    words = F.transform(F.regexp_extract_all(F.col(text).cast("string"), F.lit(DICTIONARY_WORD), F.lit(0)), F.lower)
+    each = docs.select(F.explode(F.array_distinct(words)).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
+
+
+def _examples(spark: SparkSession, n: int) -> DataFrame:
+    """doc_id, text, value, label: small documents with one candidate of each kind, by rule, the same each time."""
     hexes, i = F.sha1(F.concat(F.lit("finding"), F.col("id")).cast("binary")), F.col("id")
-    mixed = F.translate(F.base64(F.unhex(F.sha2(hexes, 256))), "=", "")
-    syllable = "array('an','er','on','tion','st','re','lo','mi','en','qu','de','ra')[cast(pmod(xxhash64(id, x), 12) as int)]"
-    word = F.expr(f"array_join(transform(sequence(1, 7 + cast(id % 5 as int)), x -> {syllable}), '')")
-    name = F.element_at(F.array(*map(F.lit, ("token", "secret", "api_key", "password", "auth_token", "access-key", "client_secret", "TOKEN", "apikey"))), (i % 9 + 1).cast("int"))
-    harmless = F.element_at(F.array(*map(F.lit, ("commit", "sha1", "md5", "checksum", "revision", "digest", "etag", "hash"))), (i % 8 + 1).cast("int"))
-    sign = F.element_at(F.array(F.lit("="), F.lit(":")), (i.bitwiseAND(1) + 1).cast("int"))
-    plain, quiet = F.lit("src1"), F.concat(F.lit("tests/fixtures/f"), i)
+    drawn = F.translate(F.base64(F.unhex(F.concat(F.sha2(hexes, 256), F.sha2(F.concat(hexes, F.lit("b")), 256)))), "=+/", "aB3")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.pmod(F.xxhash64("id", F.lit(len(x))), F.lit(len(x))) + 1).cast("int"))
+    word = lambda k: pick(*(_WORDS[k:] + _WORDS[:k]))
+    name = pick("token", "secret", "api_key", "password", "auth_token", "access-key", "client_secret", "TOKEN", "apikey", "db_password", "private_key", "credentials")
+    harmless = pick("commit", "sha1", "md5", "checksum", "revision", "digest", "etag", "hash", "trace", "build")
+    sign, said = pick(" = ", ": ", "=", ' = "', '="', ': "', " := "), F.concat_ws(" ", word(3), word(11), word(17))
     uuid = F.concat_ws("-", *(F.substring(hexes, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    other = F.substring(word, 1, 6)
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    none = F.lit("")
-    #: kind: candidate, word, before2, before1, after, path, label
+    long = drawn.substr(F.lit(1), 20 + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(44)).cast("int"))
+    prefix = F.concat(F.lower(F.regexp_replace(drawn.substr(F.lit(70), F.lit(4)), "[0-9]", "k")), pick("_", "-", "_live_", "_test_"))
+    capitals = F.upper(drawn.substr(F.lit(3), F.lit(20)))
+    weak = F.concat(F.initcap(word(5)), F.pmod(i, F.lit(977)).cast("string"), pick("!", "#", "$x", "%", "-9", "_Q"), drawn.substr(F.lit(9), 1 + F.pmod(i, F.lit(5)).cast("int")))
+    json = F.translate(F.base64(F.concat(F.lit('{"'), word(2), F.lit('":"'), drawn.substr(F.lit(1), F.lit(12)), F.lit('","'), word(8), F.lit('":'), i, F.lit("}")).cast("binary")), "=+/", "aB3")
+    path = F.concat(word(1), F.lit("/"), word(4), pick(".py", ".yaml", ".env", ".js"))
+    quiet = F.concat(pick("tests/", "src/tests/", "docs/", "examples/", "fixtures/"), word(4), pick(".py", ".yaml", ".md"))
+    slug = F.concat_ws("-", word(1), word(6), word(9), word(13))
+    snake, camel = F.concat_ws("_", word(2), word(7), word(10)), F.concat(word(2), F.initcap(word(7)), F.initcap(word(10)))
+    digits = F.lpad((i * 2654435761 % 10**16).cast("string"), 16, "4")
+    call = F.concat(pick("get_", "load_", "read_", "os.environ."), word(3))
+    #: value, text before it, text after it, label
     kinds = [
-        (hexes, quoted(hexes), name, sign, other, plain, 1),
-        (hexes, hexes, name, sign, other, plain, 1),
-        (F.md5(hexes), quoted(F.md5(hexes)), name, sign, none, plain, 1),
-        (F.substring(mixed, 1, 40), quoted(F.substring(mixed, 1, 40)), name, sign, other, plain, 1),
-        (F.substring(mixed, 1, 24), F.concat(name, sign, F.substring(mixed, 1, 24)), other, other, none, plain, 1),
-        (hexes, F.concat(F.lit("Bearer:"), hexes), other, F.lit("Authorization"), none, plain, 1),
-        (hexes, hexes, other, harmless, other, plain, 0),
-        (F.md5(hexes), quoted(F.md5(hexes)), harmless, sign, other, plain, 0),
-        (uuid, uuid, other, F.lit("id"), other, plain, 0),
-        (word, word, other, other, other, plain, 0),
-        (word, word, other, other, other, plain, 0),
-        (F.concat_ws("/", other, F.lit("src"), word), F.concat_ws("/", none, other, F.lit("src"), word), other, other, other, plain, 0),
-        (F.lit("x" * 20), quoted(F.lit("x" * 20)), name, sign, none, plain, 0),
-        (F.concat(F.lit("your-api-key-here-"), i), quoted(F.concat(F.lit("your-api-key-here-"), i)), name, sign, none, plain, 0),
-        (hexes, quoted(hexes), name, sign, other, quiet, 0),
-        (F.lpad((i * 2654435761 % 10**16).cast("string"), 16, "4"), F.lpad((i * 2654435761 % 10**16).cast("string"), 16, "4"), other, other, other, plain, 0),
-        (F.lit("-" * 24), F.lit("-" * 24), other, other, other, plain, 0),
-        (F.concat(F.lit("example_"), F.substring(hexes, 1, 16)), quoted(F.concat(F.lit("example_"), F.substring(hexes, 1, 16))), name, sign, none, plain, 0),
+        *((v, F.concat(said, F.lit(" "), name, sign), word(1), 1) for v in (hexes, F.md5(hexes), long, long, F.concat(prefix, long), capitals, weak, weak, json)),
+        (long, F.concat(path, F.lit(" "), name, sign), word(1), 1),
+        (long, F.concat(said, pick(" Authorization: Bearer ", " Bearer ", " bearer:")), word(1), 1),
+        (F.concat(prefix, long), F.concat(said, F.lit(" ")), word(1), 1),
+        (capitals, F.concat(said, pick(" access_key_id = ", " aws_access_key=", " key id: ")), word(1), 1),
+        (json, F.concat(said, pick(" cookie: session=", " jwt ", " Authorization: ")), word(1), 1),
+        *((v, F.concat(said, F.lit(" "), harmless, pick(" ", ": ", "=", " = ")), word(1), 0) for v in (hexes, F.md5(hexes), hexes)),
+        *((v, F.concat(said, F.lit(" ")), said, 0) for v in (uuid, slug, snake, camel, digits, F.lit("-" * 24), F.lit("=" * 2), F.concat_ws("/", word(1), word(2), word(3), word(4)))),
+        (uuid, F.concat(said, pick(" id: ", " request=", " uuid ")), word(1), 0),
+        (digits, F.concat(said, pick(" phone: ", " number=", " id ")), word(1), 0),
+        *((v, F.concat(said, F.lit(" "), name, sign), word(1), 0) for v in (F.lit("x" * 20), F.concat(F.lit("your-api-key-here-"), i), F.concat(F.lit("example_"), drawn.substr(F.lit(1), F.lit(16))), F.lit("changeme123"), word(6), snake, slug, call, F.lit("required"))),
+        *((v, F.concat(F.lit("in "), quiet, pick(" the ", ": "), name, sign), word(1), 0) for v in (hexes, long)),
     ]
     out = None
-    for k, values in enumerate(kinds):
-        kind = F.struct(*(v.cast("string").alias(c) for c, v in zip(FINDING, values)), F.lit(values[-1]).alias("label"))
+    for k, (value, before, after, label) in enumerate(kinds):
+        kind = F.struct(value.cast("string").alias("value"), before.alias("before"), after.alias("after"), F.lit(label).alias("label"))
         out = F.when(F.lit(k) == i % len(kinds), kind) if out is None else out.when(F.lit(k) == i % len(kinds), kind)
-    return spark.range(0, n, 1, 2).select(out.alias("f")).select("f.*")
+    rows = spark.range(0, n, 1, 2).select("id", out.alias("f")).select(F.col("id").alias("doc_id"), "f.*")
+    quote = F.when(F.col("before").rlike('"$'), '"').otherwise("")
+    return rows.select("doc_id", F.concat("before", "value", quote, F.lit(" "), "after").alias("text"), "value", "label")
+
+
+#: Words that the examples are made of.
+_WORDS = [
+    "server", "table", "window", "number", "order", "public", "garden", "river", "simple", "market", "letter", "morning", "paper", "winter", "engine", "castle",
+    "branch", "signal", "planet", "silver", "bridge", "record", "travel", "common", "yellow", "member", "object", "master", "profile", "session",
+]
+
+
+def seed_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+    """Labelled findings made by rule, found in ``n`` small documents as the scan finds them."""
+    made = _examples(spark, n)
+    words = spark.createDataFrame([(w,) for w in _WORDS], "word string")
+    found = covered(candidates(made, path=None), words)
+    return found.join(made.select("doc_id", "value", "label"), "doc_id").where("candidate = value").select("doc_id", *FINDING, "covered", "label")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
@@ -109,22 +142,43 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Random
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """doc_id, word_no (from 0), part (from 0, of the word) and the finding's strings, one row a candidate."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(path).cast("string") if path else F.lit("")).alias("path"))
-    rows = rows.where(F.col("t").rlike(CANDIDATE)).withColumn("w", F.split("t", WORD_GAP))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"), (F.col(path).cast("string") if path else F.lit("")).alias("source"))
+    rows = rows.where(F.col("t").rlike(RUN) | F.col("t").rlike(_TELLING)).withColumn("w", F.split("t", WORD_GAP))
     at = lambda i: F.when((i >= 0) & (i < F.size("w")), F.get("w", i)).otherwise("")
-    numbered = F.transform("w", lambda w, i: F.when(F.length(w) >= 16, F.struct(i.alias("word_no"), w.alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before1"), at(i + 1).alias("after"))))
-    found = rows.select("doc_id", "path", F.explode(F.filter(numbered, lambda x: x.isNotNull() & x["word"].rlike(CANDIDATE))).alias("f"))
-    return found.select("doc_id", "path", "f.*", F.posexplode(F.regexp_extract_all("f.word", F.lit(f"({CANDIDATE})"), 1)).alias("part", "candidate"))
+
+    def finding(w: Column, i: Column) -> Column:
+        value = F.regexp_extract(F.concat_ws(" ", at(i - 2), at(i - 1), w), ASSIGNED, 3)
+        return F.struct(i.alias("word_no"), w.alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before1"), at(i + 1).alias("after"), value.alias("value"))
+
+    numbered = F.transform("w", lambda w, i: F.when((F.length(w) >= 16) | F.concat_ws(" ", at(i - 2), at(i - 1), w).rlike(ASSIGNED), finding(w, i)))
+    found = rows.select("doc_id", "source", "w", F.explode(F.filter(numbered, lambda x: x.isNotNull())).alias("f")).select("doc_id", "source", "w", "f.*")
+    runs = F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)
+    each = F.when(F.col("value") == "", runs).otherwise(F.concat(F.array("value"), F.filter(runs, lambda r: F.instr(F.col("value"), r) == 0)))
+    start = F.greatest(F.col("word_no") - PATH_WORDS, F.lit(0))
+    named = F.filter(F.slice("w", start + 1, F.col("word_no") - start), lambda x: x.rlike(_PATH))
+    found = found.withColumns({"each": each, "path": F.coalesce(F.try_element_at(named, F.lit(-1)), "source", F.lit(""))})
+    return found.select("doc_id", "word_no", "word", "before2", "before1", "after", "path", F.posexplode("each").alias("part", "candidate"))
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """``found`` with ``covered``: how many of each candidate's characters are in parts that are words of the table (word)."""
+    found = written(found.withColumn("finding", F.monotonically_increasing_id()), "candidates")
+    parts = found.select("finding", F.explode(F.regexp_extract_all("candidate", F.lit(PART), F.lit(0))).alias("part")).select("finding", F.lower("part").alias("word"), F.length("part").alias("n"))
+    total = max(1, found.count())
+    known = parts.groupBy("word").agg(F.count("*").alias("count")).join(words.select("word").distinct(), "word")
+    sums = join_hot(parts, known, "word", total).groupBy("finding").agg(F.sum("n").alias("covered"))
+    return found.join(sums, "finding", "left").drop("finding")
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", secret_from: float = SECRET_FROM) -> DataFrame:
-    """doc_id, word_no, part, candidate, score, is_secret of every candidate.
+def scan(docs: DataFrame, model: RandomForestClassificationModel, doc_id: str = "doc_id", text: str = "text", path: str | None = "source", secret_from: float = SECRET_FROM, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, word_no, part, candidate, score, is_secret of every candidate. ``words``: the dictionary (word), or None.
 
-    Null and empty texts have none. Null ids and repeated rows: rows each. A null path counts as empty. Empty input: no
-    row. Other columns are not read.
+    Null and empty texts have none. Null ids and repeated rows: rows each. A null path counts as empty. A score of exactly
+    ``secret_from`` is a secret. Very long texts are split into words whole. Empty input: no row. Other columns, whatever
+    their names, are not read.
     """
     f = features()
-    rows = candidates(docs, doc_id, text, path)
+    rows = covered(candidates(docs, doc_id, text, path), dictionary(docs, text) if words is None else words)
     rows = rows.select("doc_id", "word_no", "part", "candidate", F.struct(*(c.alias(k) for k, c in f.items())).alias("f")).select("doc_id", "word_no", "part", "candidate", "f.*")
     scored = model.transform(VectorAssembler(inputCols=list(f), outputCol="features").transform(rows))
     score = vector_to_array("probability")[1]
