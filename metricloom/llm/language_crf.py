@@ -4,7 +4,9 @@ A word's features are itself (the lexicon), its beginnings and endings, and its
 labels are languages, and transitions between the labels of neighbouring words are learnt with the features. Training
 sequences are code-switched: stretches of different documents follow each other. A text's words are labelled by
 forward-backward over the whole text, in two levels: products of the transfer matrices of fixed stretches, all at once,
-then from stretch to stretch. The text's language is the one with the largest mean marginal, weighted by word length.
+then from stretch to stretch. A long text goes through in windows, which hand their messages on in both directions, so
+memory beyond the text is one window's. The text's language is the one with the largest mean marginal, weighted by word
+length. A run of letters of more than MOST_LETTERS bytes (a script without spaces) is several words.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ ROUNDS = 40
 #: Words of a stretch whose transfer matrices are multiplied in one go.
 STEP = 32
 UNKNOWN = "und"
+#: Bytes of a word at most.
+MOST_LETTERS = 48
+#: Bytes of text whose words are held at once: of several texts, or of a window of one.
+WINDOW = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,6 +44,22 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word, in bytes; a long run of letters is cut, not inside a character."""
+    letter = _LETTER[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
+    a, b = edge[::2], edge[1::2]
+    parts = -(-(b - a) // MOST_LETTERS)
+    if len(a) and parts.max() > 1:
+        which = np.repeat(np.arange(len(a)), parts)
+        a = a[which] + MOST_LETTERS * (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts))
+        for _ in range(3):  # back to the first byte of a character
+            a = a - ((data[a] & 0xC0) == 0x80)
+        b = np.where(np.append(which[1:] == which[:-1], False), np.append(a[1:], 0), b[which])
+        a, b = a[b > a], b[b > a]
+    return a, b
+
+
 @dataclass
 class Words:
     doc: np.ndarray
@@ -48,9 +70,11 @@ class Words:
     @classmethod
     def of(cls, texts: list[str]) -> Words:
         data, bounds = flat_bytes(texts)
-        letter = _LETTER[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
-        a, b = edge[::2], edge[1::2]
+        return cls.within(data, bounds)
+
+    @classmethod
+    def within(cls, data: np.ndarray, bounds: np.ndarray, spans: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+        a, b = word_spans(data) if spans is None else spans
         size, low = b - a, _LOWER[data]
         numbers = np.arange(len(a))
         from_, to, owner, kind = [a], [b], [numbers], [np.full(len(a), 0, np.uint64)]
@@ -79,8 +103,34 @@ class Words:
         return np.stack([np.bincount(self.owner, weights=w[self.features], minlength=n) for w in weights], axis=1) / np.sqrt(count)[:, None]
 
 
-def marginals(emission: np.ndarray, doc: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Label probabilities of each word given its whole text; ``doc`` is ascending."""
+def _products(grid: np.ndarray, real: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The product of the transfer matrices of each stretch of a grid (stretch, word, label)."""
+    total, steps, k = grid.shape
+    product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
+    for t in range(steps):
+        some = real[:, t]
+        if not some.any():
+            break
+        step = (product[some] @ move) * grid[some, t][:, None, :]
+        product[some] = step / step.max(axis=(1, 2), keepdims=True)
+    return product
+
+
+def window_product(emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """The product of the transfer matrices of all words of a window, but for its scale."""
+    n, k = emission.shape
+    grid, real = np.ones((-(-n // STEP) * STEP, k)), np.arange(-(-n // STEP) * STEP) < n
+    grid[:n] = np.exp(emission - emission.max(axis=1, keepdims=True))
+    out = np.eye(k)
+    for m in _products(grid.reshape(-1, STEP, k), real.reshape(-1, STEP), np.exp(transition)):
+        out = out @ m
+        out /= out.max()
+    return out
+
+
+def marginals(emission: np.ndarray, doc: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """Label probabilities of each word given its whole text; ``doc`` is ascending. ``before`` and ``after``: the messages of what
+    stands before and after the words of a single text's window."""
     n, k = emission.shape
     if not n:
         return emission
@@ -95,14 +145,10 @@ def marginals(emission: np.ndarray, doc: np.ndarray, transition: np.ndarray) ->
     grid = np.zeros((total, STEP, k))
     real = np.zeros((total, STEP), bool)
     grid[row, col], real[row, col] = potential, True
-    product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
-    for t in range(STEP):
-        some = real[:, t]
-        if not some.any():
-            break
-        step = (product[some] @ move) * grid[some, t][:, None, :]
-        product[some] = step / step.max(axis=(1, 2), keepdims=True)
+    product = _products(grid, real, move)
     ahead, behind = np.ones((total, k)), np.ones((total, k))  # what comes before a stretch, what comes after it
+    if before is not None:
+        ahead[0], behind[-1] = before, after
     for s in range(1, int(stretches.max())):
         at = base[stretches > s] + s
         x = np.einsum("nk,nkj->nj", ahead[at - 1], product[at - 1])
@@ -137,25 +183,64 @@ class LanguageModel:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.labels or not texts:
             return names, scores
-        words = Words.of(texts)
-        p = marginals(words.emissions(self.weights), words.doc, self.transition) * words.length[:, None]
-        sums = np.stack([np.bincount(words.doc, weights=p[:, k], minlength=len(texts)) for k in range(len(self.labels))], axis=1)
-        weight = sums.sum(axis=1)
-        best = sums.argmax(axis=1)
+        sums = np.zeros((len(texts), len(self.labels)))
+        held, size = [], 0
+        for d, t in enumerate(texts):
+            if len(t) > WINDOW:
+                for _, length, p in self._windows(t):
+                    sums[d] += length @ p
+                continue
+            held.append(d)
+            size += len(t)
+            if size > WINDOW:
+                self._add(texts, held, sums)
+                held, size = [], 0
+        self._add(texts, held, sums)
+        weight, best = sums.sum(axis=1), sums.argmax(axis=1)  # of equal sums the first label
         for d in np.flatnonzero(weight > 0).tolist():
             if any(c.isalpha() for c in texts[d]):
                 names[d], scores[d] = self.labels[best[d]], min(1.0, sums[d, best[d]] / weight[d])
         return names, scores
 
+    def _add(self, texts: list[str], which: list[int], sums: np.ndarray) -> None:
+        words = Words.of([texts[d] for d in which])
+        p = marginals(words.emissions(self.weights), words.doc, self.transition) * words.length[:, None]
+        for k in range(len(self.labels)):
+            sums[which, k] += np.bincount(words.doc, weights=p[:, k], minlength=len(which))
+
+    def _windows(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of a long text's windows in turn: where it starts, in bytes, the words' lengths and marginals given the whole text."""
+        data = flat_bytes([text])[0]
+        a, b = (x.astype(np.uint32 if len(data) < 1 << 32 else np.int64) for x in word_spans(data))
+        cuts = np.unique(np.append(np.searchsorted(a, np.arange(0, len(data), WINDOW)), len(a)))
+        parts = []
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            lo, hi = int(a[i]), int(b[j - 1])
+            w = Words.within(data[lo:hi], np.array([0, hi - lo]), (a[i:j].astype(np.int64) - lo, b[i:j].astype(np.int64) - lo))
+            parts.append((lo, w.length.astype(np.uint8), w.emissions(self.weights).astype(np.float32)))
+        del a, b
+        k = len(self.labels)
+        products = [window_product(e.astype(np.float64), self.transition) for _, _, e in parts]
+        behind = [np.ones(k)]
+        for m in reversed(products[1:]):
+            x = m @ behind[-1]
+            behind.append(x / x.max())
+        ahead = np.ones(k)
+        for (a, length, e), m, after in zip(parts, products, reversed(behind)):
+            yield a, length, marginals(e.astype(np.float64), np.zeros(len(e), np.int64), self.transition, ahead, after)
+            ahead = ahead @ m
+            ahead /= ahead.max()
+
     def label_words(self, text: str) -> list[tuple[int, int, str, float]]:
         """Each word of a text: start and end in UTF-8 bytes, language, probability."""
         if not self.labels:
             return []
-        words = Words.of([text])
-        letter = _LETTER[flat_bytes([text])[0]]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
-        p = marginals(words.emissions(self.weights), words.doc, self.transition)
-        return [(int(a), int(b), self.labels[int(r.argmax())], float(r.max())) for a, b, r in zip(edge[::2], edge[1::2], p)]
+        data, out = flat_bytes([text])[0], []
+        spans = word_spans(data)
+        p = np.concatenate([np.zeros((0, len(self.labels))), *(p for _, _, p in self._windows(text))])
+        for a, b, r in zip(*spans, p):
+            out.append((int(a), int(b), self.labels[int(r.argmax())], float(r.max())))
+        return out
 
 
 def fit(texts: list[str], langs: list[str], rounds: int = ROUNDS, seed: int = 7) -> LanguageModel:
@@ -239,7 +324,9 @@ def train(docs: DataFrame, where: Column | None = None, doc_id: str = "doc_id",
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row. Null text or no letter: ``und``, 0. Repeated rows and null ids: a row each."""
+    """doc_id, lang_pred, score of every row. Null text or no letter: ``und``, 0. Repeated rows and null ids: a row each. Of
+    equally likely languages the first by name. Very long texts are judged whole, window by window. Empty input: no row.
+    Other columns, whatever their names, are not read."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
