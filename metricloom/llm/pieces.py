@@ -62,10 +62,10 @@ def split(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 class PieceEncoder:
-    """Ids (little-endian unsigned 32-bit) of whole texts, or their number. ``frequent`` pieces are known from the start;
-    ``cap`` bounds what the worker keeps besides."""
+    """Ids (little-endian unsigned 32-bit) of whole texts, or their number. ``frequent`` has values of pieces, which are known
+    from the start; ``cap`` bounds what the worker keeps besides."""
 
-    def __init__(self, path: str, frequent: tuple[str, ...] = (), cap: int = 600_000, lengths_only: bool = False):
+    def __init__(self, path: str, frequent: dict | None = None, cap: int = 600_000, lengths_only: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,9 +83,8 @@ class PieceEncoder:
         self.stand_ins = _byte_alphabet()
         self.space = self.stand_ins[0x20]
         self.tokenize, self.cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str if self.by_piece else None
-        self.cache: dict = {}
         self.marks: dict = {}
-        self.frequent = self._learnt(list(frequent)) if self.by_piece else {}
+        self.frequent = dict(frequent or {}) if self.by_piece else {}
         self.cache = dict(self.frequent)
 
     def _whole(self, text: str):
@@ -195,7 +194,7 @@ class PieceEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, frequent: tuple[str, ...] = (), key: str = "", **options) -> PieceEncoder:
+def encoder(path: str, frequent: dict | None = None, key: str = "", **options) -> PieceEncoder:
     """One encoder for each worker process and set of options; the cache lives on between tasks."""
     full = (path, key, *sorted(options.items()))
     if full not in _ENCODERS:

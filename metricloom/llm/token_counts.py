@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import encoder, split
+from .pieces import PieceEncoder, encoder, split
 
-#: Entries of the broadcast table; at some 30 bytes each it stays below 1 MB.
+#: Entries of the broadcast table, pre-token and length; at some 30 bytes each it stays below 1 MB.
 FREQUENT = 20_000
 #: Longer pre-tokens are not kept as frequent, which bounds the table's bytes.
 LONGEST = 24
@@ -71,7 +71,8 @@ def frequent_pieces(docs: DataFrame, text: str = "text", keep: int = FREQUENT) -
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text", keep: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text, as the library counts without added special tokens.
 
-    Null text: empty, no token. Repeated rows: a row each. Null ids are kept. Empty input: no row. Other columns are
+    Null text: empty, no token. Repeated rows: a row each. Null ids are kept. A count of exactly ``limit`` is not over it.
+    Very long texts are cut up whole, in a lot of their own. Empty input: no row. Other columns, whatever their names, are
     not read. A sentencepiece ``.model`` is counted by its own library, text by text.
     """
     small_batches(docs.sparkSession, 2048, "8m")
@@ -81,8 +82,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, doc_id: str
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def frequent_lengths(docs: DataFrame, tokenizer: str, text: str = "text", keep: int = FREQUENT) -> dict[str, int | None]:
+    """Tokens of each frequent pre-token; None where only its whole text can tell. Each is encoded once, by the driver."""
+    pieces = frequent_pieces(docs, text, keep)
+    counter = PieceEncoder(tokenizer, lengths_only=True)
+    return dict(zip(pieces, counter.lookup(pieces))) if counter.by_piece else {}
+
+
 def _piece_counter(rows: DataFrame, tokenizer: str, keep: int):
-    tier, key = rows.sparkSession.sparkContext.broadcast(tuple(frequent_pieces(rows, keep=keep))), uuid.uuid4().hex
+    tier, key = rows.sparkSession.sparkContext.broadcast(frequent_lengths(rows, tokenizer, keep=keep)), uuid.uuid4().hex
 
     def count(texts: pd.Series) -> pd.Series:
         enc = encoder(tokenizer, tier.value, key=key, lengths_only=True)
