@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), where=learn_part("doc_id", 3) != 1)
     scored = score_documents(docs, model, threshold=0.7)
-    return scored.select("doc_id", (learn_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", (learn_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "offending")
 
 
 def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

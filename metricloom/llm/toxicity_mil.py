@@ -85,9 +85,11 @@ class ToxicityModel:
         """Of each text the sentences from ``least`` on: start, end (in characters of the text) and probability."""
         p, ends, doc, starts = self.sentences(texts)
         out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        last, raw = -1, b""
         for k in np.flatnonzero(p >= least).tolist():
             d = int(doc[k])
-            raw = texts[d].encode("utf-8", "surrogatepass")
+            if d != last:
+                last, raw = d, texts[d].encode("utf-8", "surrogatepass")
             lo, hi = (int(ends[k - 1]) + 1 if k and doc[k - 1] == d else int(starts[d])) - int(starts[d]), int(ends[k]) + 1 - int(starts[d])
             begin = len(raw[:lo].decode("utf-8", "surrogatepass"))
             out[d].append((begin, begin + len(raw[lo:hi].decode("utf-8", "surrogatepass")), float(p[k])))
@@ -175,7 +177,8 @@ def score_column(model: ToxicityModel, spark, text: str = "text") -> Column:
 
 
 def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", least: float = OFFENDING) -> DataFrame:
-    """doc_id, start, end, sentence, score of every offending sentence."""
+    """doc_id, start, end, sentence, score of every offending sentence. Null texts have none; repeated rows and null ids: rows
+    each; very long texts whole; empty input: no row; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     small_batches(docs.sparkSession)
 
@@ -189,8 +192,23 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, doc_id: str = "do
     return rows.mapInArrow(find, "doc_id bigint, start bigint, end bigint, sentence string, score double")
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score (0 to 1), predicted of every row. Null text scores as empty, 0. Repeated rows, null ids: a row each."""
+def score_documents(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, least: float = OFFENDING) -> DataFrame:
+    """doc_id, score (0 to 1), predicted, and offending: start and end (characters of the text) and probability of each sentence
+    from ``least`` on, of every row.
+
+    Null text scores as empty, 0, without sentences. Repeated rows and null ids: a row each. A score of exactly the threshold
+    is predicted 1. Very long texts are judged whole, in a batch of their own, with memory in proportion. Empty input: no
+    row. Other columns, whatever their names, are not read.
+    """
     small_batches(docs.sparkSession)
-    scored = docs.select(F.col(doc_id).alias("doc_id"), score_column(model, docs.sparkSession, text).alias("score"))
-    return scored.select("doc_id", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(texts):
+        texts = [t or "" for t in texts]
+        found = [[{"start": s, "end": e, "score": p} for s, e, p in f] for f in shared.value.offending(texts, least)]
+        return pd.DataFrame({"score": shared.value.scores(texts), "offending": found})
+
+    judge.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    kind = "score double, offending array<struct<start bigint, end bigint, score double>>"
+    judged = docs.select(F.col(doc_id).alias("doc_id"), F.pandas_udf(judge, kind)(F.col(text).cast("string")).alias("j"))
+    return judged.select("doc_id", "j.score", F.when(F.col("j.score") >= threshold, 1).otherwise(0).alias("predicted"), "j.offending")
