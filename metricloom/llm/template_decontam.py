@@ -12,7 +12,8 @@ Names are told by capitals, so each text has a second template in which they are
 capitals or in lower case. What stands word for word counts whatever templates say: a run of VERBATIM tokens of an item,
 or all of a shorter one.
 
-The table of benchmark windows goes to every worker in parts of bounded size; a larger benchmark takes several passes.
+The table of benchmark windows goes to every worker in parts of bounded size, one at a time; a larger benchmark takes
+several passes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, mix64, small_batches, span_hashes, texts_of
+from .common import flat_bytes, mix64, quoted, small_batches, span_hashes, texts_of, written
 
 WINDOW = 5
 #: Words of a window that must not be placeholders.
@@ -40,6 +41,8 @@ NEAR_SHIFTS = 8
 #: Tokens of an item that count word for word, whatever share of it they are; and of a window that finds them.
 VERBATIM = 20
 PLAIN_WINDOW = 8
+#: Pairs of a text's window and an item's that are held at once.
+PAIRS = 1 << 18
 #: Bytes of benchmark text that one pass takes.
 PASS_BYTES = 16 << 20
 
@@ -207,14 +210,18 @@ class Lookup:
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Token, item and token of the item of each window that both have."""
+    def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Token, item and token of the item of each window that both have, in pieces of bounded size."""
         maybe = np.flatnonzero(self.known[(h >> np.uint64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, h[maybe]), np.searchsorted(self.hashes, h[maybe], side="right")
         hit = hi > lo
-        for p, a, b in zip(at[maybe][hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-            for k in range(a, b):
-                yield p, int(self.item[k]), int(self.at[k])
+        p, lo, n = at[maybe][hit], lo[hit], (hi - lo)[hit]
+        ends = np.cumsum(n)
+        for a in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            k = np.arange(a, min(a + PAIRS, int(ends[-1])))
+            which = np.searchsorted(ends, k, side="right")
+            theirs = lo[which] + k - (ends - n)[which]
+            yield p[which], self.item[theirs], self.at[theirs]
 
 
 @dataclass
@@ -262,9 +269,14 @@ class Index:
     def _by_template(self, items: Templates, lookup: Lookup, t: Templates, covered: float, before: dict) -> dict:
         lined: dict[tuple[int, int], set[int]] = defaultdict(set)
         for p, i, at in lookup.hits(*t.windows(self.size)):
-            d = int(t.doc[p])
-            if (d, i) not in before:
-                lined[d, i].add(p - int(t.bounds[d]) - at)
+            d = t.doc[p]
+            key, shift = d * len(self.items) + i, p - t.bounds[d] - at
+            order = np.lexsort((shift, key))
+            key, shift = key[order], shift[order]
+            first = np.concatenate(([True], (key[1:] != key[:-1]) | (shift[1:] != shift[:-1])))
+            for k, s in zip(key[first].tolist(), shift[first].tolist()):
+                if (pair := divmod(k, len(self.items))) not in before:
+                    lined[pair].add(s)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for (d, i), shifts in lined.items():
             mine, own, slot = (x[items.bounds[i] : items.bounds[i + 1]] for x in (items.token, items.own, items.slot))
@@ -285,7 +297,7 @@ class Index:
     def _word_for_word(self, t: Templates, before: dict) -> dict:
         items, best = self.views[2], {}
         for k, h, p in t.plain_windows(list(self.plain)):
-            for p, i, at in self.plain[k].hits(h, p):
+            for p, i, at in (x for some in self.plain[k].hits(h, p) for x in zip(*(c.tolist() for c in some))):
                 d = int(t.doc[p])
                 if (d, i) in before:
                     continue
@@ -298,45 +310,63 @@ class Index:
         return best
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pass_bytes: int = PASS_BYTES) -> list:
-    """Broadcast indexes of the benchmark, each of at most about ``pass_bytes`` of text."""
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", pass_bytes: int | None = None) -> Iterator:
+    """Broadcast indexes of the benchmark, each of at most about ``pass_bytes`` of text, one after the other. Each is taken back
+    when the next is asked for: no more than one is held by the workers."""
+    pass_bytes = pass_bytes or PASS_BYTES
     rows = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(text).cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-total // pass_bytes))
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Index.of([tuple(r) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()])) for k in range(parts)]
+    for k in range(parts):
+        shared = benchmark.sparkSession.sparkContext.broadcast(Index.of([tuple(r) for r in rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k).collect()]))
+        yield shared, k == parts - 1
+        if k < parts - 1:
+            shared.destroy()
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", covered: float = COVERED) -> DataFrame:
     """doc_id, item_id, covered, slots, changed_slots of every item that a document has.
 
     Null and empty texts have none; items without id or text are never found, an item shorter than a window where its tokens
-    stand in a row, also if it is a single one; of equal items the smallest id is given. Repeated rows and null ids: rows each. Empty tables: no row. Other columns are not read.
+    stand in a row, also if it is a single one; of equal items the smallest id is given. Repeated rows and null ids: rows
+    each. Very long texts are judged whole, in a batch of their own, with memory in proportion. Empty tables: no row. Other
+    columns, whatever their names, are not read. A benchmark of more than PASS_BYTES takes several passes over the
+    documents, whose pairs are written to the shared folder.
     """
     small_batches(docs.sparkSession)
-    shared = indexes(benchmark, item_id, item_text)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            rows = [(i, *f) for index in shared for i, found in zip(ids, index.value.found(texts, covered)) for f in found]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "covered", "slots", "changed_slots"])
-
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(find, "doc_id bigint, item_id bigint, covered double, slots bigint, changed_slots bigint")
+    out = None
+    for shared, last in indexes(benchmark, item_id, item_text):
 
+        def find(batches: Iterator[pa.RecordBatch], index=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
+                got = [(i, *f) for i, found in zip(ids, index.value.found(texts, covered)) for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], kind) for k, kind in enumerate(kinds)], ["doc_id", "item_id", "covered", "slots", "changed_slots"])
 
-def contaminated_column(benchmark: DataFrame, text: str = "text", covered: float = COVERED) -> Column:
-    """Whether each whole text has an item of the benchmark."""
-    shared = indexes(benchmark)
+        pairs = rows.mapInArrow(find, "doc_id bigint, item_id bigint, covered double, slots bigint, changed_slots bigint")
+        pairs = pairs if last else written(pairs, "leaks")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
+
+def _leak_column(index, text: str, covered: float) -> Column:
     def any_found(texts):
-        texts = [t or "" for t in texts]
-        hit = np.zeros(len(texts), bool)
-        for index in shared:
-            hit |= [bool(f) for f in index.value.found(texts, covered)]
-        return pd.Series(hit)
+        return pd.Series([bool(f) for f in index.value.found([t or "" for t in texts], covered)], dtype=bool)
 
     any_found.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(any_found, "boolean")(F.col(text).cast("string"))
+    return F.pandas_udf(any_found, "boolean")(F.col(quoted(text)).cast("string"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", covered: float = COVERED) -> DataFrame:
+    """The documents that have no item of the benchmark, with all their columns.
+
+    Null and empty texts stay; repeated rows are judged alike, very long texts whole; an empty benchmark lets all stay. A
+    benchmark of more than PASS_BYTES takes several passes; what each leaves is written to the shared folder.
+    """
+    small_batches(docs.sparkSession)
+    for shared, last in indexes(benchmark):
+        docs = docs.where(~_leak_column(shared, text, covered))
+        docs = docs if last else written(docs, "clean")
+    return docs

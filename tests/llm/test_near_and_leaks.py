@@ -6,8 +6,9 @@ import pytest
 pytest.importorskip("metricloom.llm")
 from metricloom.llm import pfair_mix as P  # noqa: E402
 from metricloom.llm import simhash_slices as S  # noqa: E402
+from metricloom.llm import template_decontam as T  # noqa: E402
 from metricloom.llm.queries import oracle_sql, queries  # noqa: E402
-from metricloom.llm.template_decontam import Index, contaminated_column, contaminated_pairs  # noqa: E402
+from metricloom.llm.template_decontam import Index, contaminated_pairs, without_leaks  # noqa: E402
 
 
 def slow_print(text):
@@ -233,7 +234,110 @@ def test_contamination_edges(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "item_id AS doc_id")
     assert sorted(((r.doc_id, r.item_id) for r in contaminated_pairs(docs, items).collect()), key=str) == sorted([(1, 1), (1, 1), (None, 1), (5, 1)], key=str)
     assert contaminated_pairs(docs.limit(0), items).collect() == [] == contaminated_pairs(docs, items.limit(0)).collect()
-    assert sorted(r.doc_id for r in docs.where(~contaminated_column(items)).collect()) == [3, 4, 6]
+    assert sorted(r.doc_id for r in without_leaks(docs, items).collect()) == [3, 4, 6] and without_leaks(docs, items).columns == docs.columns
+
+
+def slow_template(text, with_names):
+    """(token or kind, what stands there) of a text, by regular expressions."""
+    low = lambda w: "".join(c.lower() if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in w)
+    found, out = list(re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)), []
+    for k, m in enumerate(found):
+        w, gap = m[0], text[found[k - 1].end() : m.start()] if k else None
+        digit, was_digit = w[0] in "0123456789", k > 0 and found[k - 1][0][0] in "0123456789"
+        glued = k > 0 and digit and was_digit and gap in (".", ",")
+        begins = k == 0 or (re.search(r"[.!?:;\n]", text[found[k - 1].start() : m.start()]) is not None and not glued)
+        name = with_names and low(w[0]) != w[0] and not begins
+        joined = k > 0 and gap in (" ", "-", "'")
+        if out and (glued or (joined and digit and was_digit and not begins) or (joined and name and out[-1][0] == "NAME")):
+            out[-1] = (out[-1][0], (*out[-1][1], low(w)))
+            continue
+        unit = out and out[-1][0] == "NUMBER" and not begins and low(w) in T.UNITS and not digit
+        out.append(("NUMBER" if digit else "UNIT" if unit else "NAME" if name else low(w), (low(w),)))
+    return out
+
+
+def slow_leak(item, text):
+    """Whether a text has an item: every shift, every run of equal tokens, and the best order of them."""
+    plain, mine = ([w for t in slow_template(x, False) for w in t[1]] for x in (text, item))
+    need = min(T.VERBATIM, len(mine))
+    if mine and any(mine[a : a + need] == plain[b : b + need] for a in range(len(mine) - need + 1) for b in range(len(plain) - need + 1)):
+        return True
+    for names in (True, False):
+        x, y = slow_template(item, names), slow_template(text, names)
+        kinds = ("NUMBER", "UNIT", "NAME")
+        windows = [a for a in range(len(x) - 4) if sum(t[0] not in kinds for t in x[a : a + 5]) >= 3]
+        shifts = {b - a for a in windows for b in range(len(y) - 4) if [t[0] for t in x[a : a + 5]] == [t[0] for t in y[b : b + 5]]}
+        for shift in shifts:
+            runs = []
+            for s in range(shift - 8, shift + 9):
+                a = 0
+                while a < len(x):
+                    e = a
+                    while e < len(x) and 0 <= e + s < len(y) and x[e][0] == y[e + s][0]:
+                        e += 1
+                    if e - a >= 4:
+                        runs.append((a, e, s))
+                    a = max(e, a + 1)
+            best = {}
+
+            def longest(k):
+                """Pairs of the longest chain that ends with run k, whole to its end."""
+                if k not in best:
+                    a, e, s = runs[k]
+                    chains = [[(i, i + s) for i in range(a, e)]]
+                    for j, (_, ej, sj) in enumerate(runs):
+                        begin = max(a, ej, ej + sj - s)
+                        if ej < e and begin < e:
+                            chains.append(longest(j) + [(i, i + s) for i in range(begin, e)])
+                    best[k] = max(chains, key=len)
+                return best[k]
+
+            chain = max(map(longest, range(len(runs))), key=len, default=[])
+            pairs = {(x[i][1], y[j][1]) for i, j in chain if x[i][0] in kinds}
+            if chain and len(chain) >= 0.6 * len(x) and len(pairs) == len({p[0] for p in pairs}):
+                return True
+    return False
+
+
+def test_templates_against_a_slow_matcher():
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi") for b in ("st", "rn", "ld", "ff", "gg")] + ["Anna", "Élan", "Bob", "12", "7", "3.5", "km", "kg", "hours", "1,200"]
+    text = lambda n: " ".join(str(w) + str(rng.choice(["", "", "", ",", ".", ":"])) for w in rng.choice(words, n))
+    items = [(k, text(int(rng.integers(2, 30)))) for k in range(25)]
+    index, seen = Index.of(items), set()
+    for k in range(250):
+        parts = items[k % 25][1].split()
+        for _ in range(int(rng.integers(0, 5))):
+            at = int(rng.integers(0, len(parts)))
+            parts[at : at + int(rng.integers(0, 2))] = [str(w) for w in rng.choice(words, int(rng.integers(0, 2)))]
+            parts = parts or ["x"]
+        doc = f"{text(6)} {' '.join(parts)} {text(6)}"
+        got = {f[0] for f in index.found([doc])[0]}
+        assert got == {i for i, t in items if slow_leak(t, doc)}, doc
+        seen.add((k % 25) in got)
+    assert seen == {True, False}
+
+
+def test_a_large_benchmark_takes_passes_with_one_broadcast_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12))) for k in range(40)]
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, t in items] + [(99, "clean of all that")], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(T, "PASS_BYTES", 500)
+    live, most, real = set(), [], type(spark.sparkContext).broadcast
+
+    def broadcast(self, value):
+        b = real(self, value)
+        if isinstance(value, Index):
+            live.add(b)
+            most.append(len(live))
+            b.destroy = lambda: live.discard(b) or type(b).destroy(b)
+        return b
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert sorted((r.doc_id, r.item_id) for r in contaminated_pairs(docs, table).collect()) == [(k, k) for k in range(40)]
+    assert len(most) > 5 and max(most) == 1
+    assert [r.doc_id for r in without_leaks(docs, table).collect()] == [99]
 
 
 def test_contamination_query_finds_verbatim_items(spark):
