@@ -36,8 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, also with other numbers, units or names, go; null and empty texts stay. Repeated
     rows are judged alike, very long texts whole. Without a benchmark nothing goes. Other columns are kept."""
-    small_batches(spark)
-    return docs.where(~template_decontam.contaminated_column(table(spark, sf_dir, "benchmark")))
+    return template_decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
