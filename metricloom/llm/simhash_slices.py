@@ -45,8 +45,9 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints of one bucket that a single comparison takes at most.
 BUCKET_ROWS = 4096
-#: Rows of whole buckets that are compared at once.
+#: Rows of whole buckets that are compared at once, and words of lanes, over several shifts.
 LOT = 1 << 16
+SHIFTS_AT_ONCE = 1 << 13
 
 #: Wide fingerprints: 64-bit lanes, words of a shingle, and the bits that candidates may differ in: Jaccard 0.8 gives 39 on average, 58 at most in 2,400 pairs.
 LANES = 4
@@ -61,6 +62,9 @@ ALIKE = (4, 5)
 ALIKE_ROWS = 512
 ALIKE_BYTES = 16 << 20
 
+#: Rows of (id, hashes) that are broadcast at most, some 32 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -210,8 +214,8 @@ def _planes(prints: np.ndarray, spare: int) -> np.ndarray:
     return out
 
 
-def _lanes(mask: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(mask) + 63) // 64 * 8, np.uint8)
+def _lanes(mask: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros(words * 8, np.uint8)
     packed = np.packbits(mask, bitorder="little")
     out[: len(packed)] = packed
     return out.view(np.uint64)
@@ -229,69 +233,64 @@ def _over(counters: list[np.ndarray], sticky: np.ndarray, radius: int) -> np.nda
     return above
 
 
-def _near(planes: np.ndarray, shift: int, wanted: np.ndarray, radius: int) -> np.ndarray:
-    """Rows i among the wanted lanes whose row i + shift differs in at most radius bits."""
-    words, bits = divmod(shift, 64)
-    low, high = np.uint64(bits), np.uint64(64 - bits)
-    at = np.flatnonzero(wanted)
-    want = wanted[at]
+def _near(planes: np.ndarray, shifts: np.ndarray, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i among the wanted lanes (shift, word) whose row i + shift differs in at most radius bits, and their shifts."""
+    which, at = np.nonzero(wanted)
+    want = wanted[which, at]
+    shift = shifts[which]
+    other, bits = at + shift // 64, (shift % 64).astype(np.uint64)
+    up = np.uint64(63) - bits
     counters = [np.zeros(len(at), np.uint64) for _ in range(max(1, radius.bit_length()))]
     sticky = np.zeros(len(at), np.uint64)
+    one = np.uint64(1)
     for k in range(len(planes)):
         plane = planes[k]
-        other = plane[at + words]
-        if bits:
-            other = (other >> low) | (plane[at + words + 1] << high)
-        carry = plane[at] ^ other
+        carry = plane[at] ^ ((plane[other] >> bits) | ((plane[other + 1] << one) << up))
         for c in counters:
             both = c & carry
             c ^= carry
             carry = both
         sticky |= carry
         if k % 8 == 7:
-            done = _over(counters, sticky, radius)
-            alive = (want & ~done) != 0
-            if not alive.all():
-                at, want, sticky = at[alive], want[alive], sticky[alive]
+            alive = np.flatnonzero(want & ~_over(counters, sticky, radius))
+            if len(alive) < 0.9 * len(at):
+                which, at, want, shift, other, bits, up, sticky = (x[alive] for x in (which, at, want, shift, other, bits, up, sticky))
                 counters = [c[alive] for c in counters]
                 if not len(at):
-                    return np.zeros(0, np.int64)
+                    break
     hit = want & ~_over(counters, sticky, radius)
     lane = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-    return at[lane // 64] * 64 + lane % 64
+    return at[lane // 64] * 64 + lane % 64, shift[lane // 64]
 
 
 def link_forest(groups: np.ndarray, prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (print, print) that join what is linked within each group."""
-    child, parent = forest(groups, prints, radius)
-    return prints[child], prints[parent]
-
+    parent = forest(groups, prints, radius)
+    child = np.flatnonzero(parent != np.arange(len(parent)))
+    return prints[child], prints[parent[child]]
 
-def forest(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (row, row) that join what is linked within each group; rows of a group stand together.
 
-    Rows already joined are not compared again, which changes no component.
-    """
-    n = len(groups)
-    parent = np.arange(n)
-
-    def settle() -> None:
-        nonlocal parent
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                return
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first row of each row's component after the pairs are joined."""
+    while True:
+        a_root, b_root = parent[a], parent[b]
+        apart = a_root != b_root
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a_root, b_root)[apart], np.minimum(a_root, b_root)[apart])
+        while not np.array_equal(up := parent[parent], parent):
             parent = up
 
-    rows, shift, planes = np.arange(n), 0, None
-    while True:
-        shift += 1
-        if shift >= len(rows):
-            break
-        same = groups[rows[:-shift]] == groups[rows[shift:]]
-        apart = same & (parent[rows[:-shift]] != parent[rows[shift:]])
-        if not same.any():
-            break
+
+def forest(groups: np.ndarray, prints: np.ndarray, radius: int) -> np.ndarray:
+    """Of each row the first row of its component, by the links within each group; rows of a group stand together.
+
+    Many shifts are compared at once. Rows already joined are not compared again, which changes no component.
+    """
+    parent = np.arange(len(groups))
+    rows, shift, planes = np.arange(len(groups)), 1, None
+    while shift < len(rows):
         if shift & (shift - 1) == 0:
             # keep the groups that still reach so far and are not one component yet; a group's rows go or stay together
             first = np.concatenate(([True], groups[rows[1:]] != groups[rows[:-1]]))
@@ -299,89 +298,85 @@ def forest(groups: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndar
             size, roots = np.bincount(group), parent[rows]
             mixed = np.bincount(group, weights=roots != roots[np.flatnonzero(first)][group]) > 0
             stay = (mixed & (size > shift))[group]
-            if planes is None or stay.mean() < 0.75:
+            if planes is None or not stay.all():
                 rows = rows[stay]
                 if shift >= len(rows):
                     break
-                planes = _planes(prints[rows], 2)
-                same = groups[rows[:-shift]] == groups[rows[shift:]]
-                apart = same & (parent[rows[:-shift]] != parent[rows[shift:]])
-        if not apart.any():
-            continue
-        need = shift // 64 + 2 + (len(rows) + 63) // 64
-        if planes.shape[1] < need:
-            planes = np.concatenate((planes, np.zeros((len(planes), need - planes.shape[1] + 16), np.uint64)), axis=1)
-        found = _near(planes, shift, _lanes(apart), radius)
-        for a, b in zip(rows[found].tolist(), rows[found + shift].tolist()):
-            while parent[a] != a:
-                a = parent[a]
-            while parent[b] != b:
-                b = parent[b]
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(found):
-            settle()
-    child = np.flatnonzero(parent != np.arange(n))
-    return child, parent[child]
+                words = (len(rows) + 63) // 64
+                planes = _planes(prints[rows], words + 2)
+        lot = min(max(1, SHIFTS_AT_ONCE // words), (1 << shift.bit_length()) - shift, len(rows) - shift)
+        wanted, g, r = np.zeros((lot, words), np.uint64), groups[rows], parent[rows]
+        for k in range(lot):
+            d = shift + k
+            wanted[k] = _lanes((g[:-d] == g[d:]) & (r[:-d] != r[d:]), words)
+        i, d = _near(planes, np.arange(shift, shift + lot), wanted, radius)
+        if len(i):
+            parent = _join(parent, rows[i], rows[i + d])
+        shift += lot
+    return parent
 
 
 Compare = Callable[[DataFrame], DataFrame]
+_EDGES = "u bigint, v bigint, bucket bigint"
+_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("bucket", pa.int64())])
+
+
+def _told(groups: np.ndarray, nodes: np.ndarray, buckets: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    """Edges (u > v) of a forest, and for each row of a part of a large bucket (others have none, 0) that is not in one component
+    with the part's smallest node, which is the bucket's: node, null, bucket."""
+    child = np.flatnonzero(parent != np.arange(len(parent)))
+    a, b = nodes[child], nodes[parent[child]]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(groups)), bool), groups[1:] != groups[:-1])))
+    size = np.diff(np.append(first, len(groups)))
+    pivot = np.lexsort((nodes, groups))[first] if len(groups) else first  # groups stand in order
+    rest = np.flatnonzero((buckets != 0) & (parent != np.repeat(parent[pivot], size)))
+    u, v = np.concatenate((np.maximum(a, b), nodes[rest])), np.concatenate((np.minimum(a, b), np.zeros(len(rest), np.int64)))
+    none = np.arange(len(u)) >= len(a)
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=none), pa.array(np.concatenate((np.zeros(len(a), np.int64), buckets[rest])), mask=~none)], schema=_SCHEMA)
 
 
 def _spanned(keyed: DataFrame, compare: Compare, most_rows: int, most_size: int = 1 << 62) -> DataFrame:
     """Edges (u > v) that span the links inside each bucket of ``keyed`` (bucket, node, size: one row each).
 
-    ``compare`` gives edges that span the links inside each group of (group, node). A bucket is a group; one of more than
+    ``compare`` gives what ``_told`` says of each group of (group, bucket, node). A bucket is a group; one of more than
     ``most_rows`` nodes or a greater size is dealt into parts, which all have its first node. Nodes in one component
     with the first are not compared again, the others are, with each part.
     """
     total = max(1, keyed.count())
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("all"), F.min("node").alias("pivot")).where("count > 1")
     sizes = written(sizes.withColumn("parts", F.greatest(F.ceil(F.col("count") / most_rows), F.ceil(F.col("all") / most_size)).cast("int")), "buckets")
-    rows = written(join_hot(keyed.select("bucket", "node"), sizes.drop("all"), "bucket", total), "dealt")
+    rows = join_hot(keyed.select("bucket", "node"), sizes.drop("all"), "bucket", total)
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    pivots = sizes.where("parts > 1").select("bucket", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = rows.where("parts = 1 OR node != pivot").select("bucket", "node", part.alias("part")).unionByName(pivots)
-    edges = written(compare(dealt.select(F.xxhash64("bucket", "part").alias("group"), "node")).distinct(), "edges")
     large = sizes.where("parts > 1")
-    if not large.isEmpty():
-        labels = components(edges)
-        firsts = large.select("bucket", "pivot").join(labels.select(F.col("node").alias("pivot"), F.col("root").alias("first")), "pivot", "left").select("bucket", F.coalesce("first", "pivot").alias("first"))
-        firsts = large.select("bucket", "count").join(firsts, "bucket")
-        mine = rows.where("parts > 1").select("bucket", "node", "parts").join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        mine = join_hot(mine, firsts, "bucket", total).withColumn("rest", F.col("label") != F.col("first")).drop("count", "first", "label")
-        mine = written(mine, "dealt")
-        forget(labels)
-        left = mine.where("rest").groupBy("bucket").agg(F.count("*").alias("n")).join(large.select("bucket", "count", "parts"), "bucket")
-        left = left.select("bucket", "count", F.ceil(F.col("parts") * F.col("n") / F.col("count")).cast("int").alias("lots"))
-        if not left.isEmpty():
-            lot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots")).cast("int")
-            both = join_hot(mine, left, "bucket", total)
-            across = both.select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-            along = both.where("rest").select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), lot.alias("lot"))
-            pairs = across.unionByName(along).select(F.xxhash64("bucket", "part", "lot", F.lit(2)).alias("group"), "node").distinct()
-            more = written(compare(pairs), "edges")
-            out = written(edges.unionByName(more).distinct(), "edges")
-            forget(edges, more)
-            edges = out
-        forget(mine)
-    forget(sizes, rows)
+    pivots = large.select("bucket", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    dealt = rows.where("parts = 1 OR node != pivot").select("bucket", "node", part.alias("part"), "parts").unionByName(pivots)
+    told = F.when(F.col("parts") > 1, F.col("bucket")).otherwise(0).alias("bucket")
+    first = written(compare(dealt.select(F.xxhash64("bucket", "part").alias("group"), told, "node")), "edges")
+    edges = first.where("v IS NOT NULL").select("u", "v")
+    rest = first.where("v IS NULL").select("bucket", F.col("u").alias("node")).distinct()
+    left = rest.groupBy("bucket").agg(F.count("*").alias("n")).join(large.select("bucket", "count", "parts"), "bucket")
+    left = written(left.select("bucket", "count", "parts", F.ceil(F.col("parts") * F.col("n") / F.col("count")).cast("int").alias("lots")), "rest")
+    if not left.isEmpty():
+        every, some = join_hot(keyed.select("bucket", "node"), left, "bucket", total), join_hot(rest, left, "bucket", total)
+        lot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots")).cast("int")
+        across = every.select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+        along = some.select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), lot.alias("lot"))
+        pairs = across.unionByName(along).select(F.xxhash64("bucket", "part", "lot", F.lit(2)).alias("group"), F.lit(0).cast("bigint").alias("bucket"), "node").distinct()
+        more = written(compare(pairs), "edges")
+        edges = edges.union(more.select("u", "v"))
     return edges
 
 
 def _sliced(radius: int, lanes: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (group, node, lanes of the fingerprint), sorted by group, edges (u > v) that span the links of each group."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """From rows (group, bucket, node, lanes of the fingerprint), sorted by group, what ``_told`` says of each group."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lot(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = forest(rows[:, 0], rows[:, 2:].view(np.uint64), radius)
-            a, b = rows[a, 1], rows[b, 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+            return _told(rows[:, 0], rows[:, 2], rows[:, 1], forest(rows[:, 0], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), radius))
 
         held, size = [], 0
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy() for k in range(2 + len(lanes))], axis=1))
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(3 + len(lanes))], axis=1))
             size += len(held[-1])
             if size >= LOT:
                 rows = np.concatenate(held)
@@ -410,8 +405,8 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     keyed = prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("node"), F.lit(1).alias("size"))
 
     def compare(groups: DataFrame) -> DataFrame:
-        rows = groups.select("group", "node", F.col("node").alias("fp")).repartition("group").sortWithinPartitions("group")
-        return rows.mapInArrow(_sliced(radius, ["fp"]), "u bigint, v bigint")
+        rows = groups.select("group", "bucket", "node", F.col("node").alias("fp")).repartition("group").sortWithinPartitions("group")
+        return rows.mapInArrow(_sliced(radius, ["fp"]), _EDGES)
 
     return _spanned(keyed, compare, bucket_rows)
 
@@ -423,8 +418,8 @@ def wide_edges(prints: DataFrame, radius: int = WIDE_RADIUS, bucket_rows: int =
     keyed = prints.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("size"))
 
     def compare(groups: DataFrame) -> DataFrame:
-        rows = groups.join(prints.select("node", *lanes), "node").select("group", "node", *lanes)
-        return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_sliced(radius, lanes), "u bigint, v bigint")
+        rows = groups.join(prints.select("node", *lanes), "node").select("group", "bucket", "node", *lanes)
+        return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_sliced(radius, lanes), _EDGES)
 
     return _spanned(keyed, compare, bucket_rows)
 
@@ -460,45 +455,40 @@ def alike_forest(groups: np.ndarray, sets: list[np.ndarray], alike: tuple[int, i
     return child, parent
 
 
-def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHINGLE, rows: int = ALIKE_ROWS, key: list[str] | None = None) -> DataFrame:
+def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHINGLE, rows: int = ALIKE_ROWS) -> DataFrame:
     """Edges (u > v) that span, inside each cluster, the pairs whose shingle sets have a Jaccard similarity of ALIKE or more.
 
     ``texts``: node and text, also repeated; ``clusters``: node, root and size (of the shingle set), one row a node.
-    ``key``: columns that both have and that together tell a text's row, where node alone would be hot.
     """
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    key = key or ["node"]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lot() -> pa.RecordBatch:
-            a, b = alike_forest(np.array(groups), sets)
-            a, b = np.array(nodes, np.int64)[a], np.array(nodes, np.int64)[b]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+            of = np.array(groups, np.int64)
+            child, parent = (np.array(x, np.int64) for x in alike_forest(of, sets))
+            return _told(of, np.array(nodes, np.int64), np.array(buckets, np.int64), _join(np.arange(len(of)), child, parent))
 
-        groups, nodes, sets, held, there = [], [], [], 0, set()
+        groups, buckets, nodes, sets, held, there = [], [], [], [], 0, set()
         for batch in batches:
-            for group, node, text in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "text"))):
+            for group, bucket, node, text in zip(*(batch.column(c).to_pylist() for c in ("group", "bucket", "node", "text"))):
                 if groups and group != groups[-1]:
                     there = set()
                     if held > ALIKE_BYTES:
                         yield lot()
-                        groups, nodes, sets, held = [], [], [], 0
+                        groups, buckets, nodes, sets, held = [], [], [], [], 0
                 if node in there:
                     continue
                 there.add(node)
                 groups.append(group)
+                buckets.append(bucket)
                 nodes.append(node)
                 sets.append(shingle_set(text, shingle))
                 held += sets[-1].nbytes
         if len(groups) > 1:
             yield lot()
 
-    where = clusters.select("node", *(k for k in key if k != "node"))
-
     def compare(groups: DataFrame) -> DataFrame:
-        named = groups.join(where, "node") if key != ["node"] else groups
-        found = texts.select(*key, "text").join(named, key).select("group", "node", "text")
-        return found.repartition("group").sortWithinPartitions("group").mapInArrow(compared, "u bigint, v bigint")
+        found = groups.join(texts.select("node", "text"), "node").select("group", "bucket", "node", "text")
+        return found.repartition("group").sortWithinPartitions("group").mapInArrow(compared, _EDGES)
 
     size = F.col("size") if "size" in clusters.columns else F.lit(1)
     return _spanned(clusters.select(F.col("root").alias("bucket"), "node", size.alias("size")), compare, rows, ALIKE_BYTES // 8)
@@ -506,25 +496,22 @@ def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHING
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (u > v) reaches. Alternating large and small stars, until
-    nothing changes; each round is a table in the shared folder, so nothing is recomputed beyond a round."""
-    mark = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).alias("mark")
-    now = written(edges.select("u", "v"), "edges")
-    before = now.select(mark).first()[0]
-    while before["n"]:
-        total = 2 * before["n"]
+    nothing but stars is left; each half of a round is a table in the shared folder, so nothing is recomputed beyond it."""
+    now = written(edges.select("u", "v").distinct(), "edges")
+    while True:
+        total = 2 * now.count()
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count")).select("u", F.least("u", "m").alias("m"), "count")
-        large = join_hot(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "stars")
+        near = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.count("*").alias("count"))
+        if near.where("m < u AND m < most").isEmpty():  # every node is a centre or has one neighbour, a centre
+            break
+        least = near.select("u", F.least("u", "m").alias("m"), "count")
+        large = written(join_hot(both, least, "u", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
         small = join_hot(large, least, "u", total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = written(small.union(least.select("u", F.col("m").alias("v"))), "edges")
         forget(large, now)
-        now, last = after, before
-        before = now.select(mark).first()[0]
-        if before == last:
-            break
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now = after
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
     out.shared_path = now.shared_path
     return out
 
@@ -591,8 +578,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     clusters = written(clusters.join(texts.select("node", "again", "size", null, zero), "node"), "clusters")
     small_batches(spark)
     named = docs.select(F.isnull(doc_id).alias("none"), F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), hashes[0].alias("node"), hashes[1].alias("again"), F.col(text).cast("string").alias("text"))
-    alike = alike_edges(named, clusters, key=["none", "id", "node", "again"])
-    forget(members, clusters)
+    wanted = clusters.select("none", "id", "node", "again")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = written(named.join(wanted, wanted.columns, "left_semi").dropDuplicates(["node"]).select("node", "text"), "members")
+    alike = alike_edges(found, clusters)
+    forget(members, clusters, found)
     small_batches(spark, 2048)
     roots = components(close.union(alike).distinct())
     grouped = every.join(roots, "node", "left").join(twins, "node", "left")
@@ -603,4 +593,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     keep = written(keep, "kept")
     forget(near, first, alike, roots, every, keyed)
     mine = dict(zip(keys, (F.isnull(doc_id), F.coalesce(F.col(doc_id), F.lit(0)), *hashes)))
-    return docs.select("*", *(c.alias(k) for k, c in mine.items())).join(keep, keys, "left_semi").dropDuplicates(keys).select(*(F.col(quoted(c)) for c in docs.columns))
+    once = docs.select("*", *(c.alias(k) for k, c in mine.items())).dropDuplicates(keys)  # before the shuffle too, so repeated rows are no task's load
+    return once.join(keep, keys, "left_semi").select(*(F.col(quoted(c)) for c in docs.columns))
