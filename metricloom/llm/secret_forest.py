@@ -21,7 +21,7 @@ from .common import join_hot, written
 RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
 SECRET_FROM = 0.5
-TREES, DEPTH, SEED = 48, 9, 11
+TREES, DEPTH, SEED = 32, 8, 11
 #: Documents that a word of the dictionary must be in, and letters of it and of the parts that are looked up.
 LEAST_DOCUMENTS = 3
 PART = "[A-Z]?[a-z]{3,}|[A-Z]{4,}"
@@ -72,49 +72,48 @@ def dictionary(docs: DataFrame, text: str = "text", least: int = LEAST_DOCUMENTS
     return each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("word")
 
 
+#: Examples by rule: value, text before it, label. Names in angle brackets stand for drawn strings.
+_KINDS = [
+    *((v, "<said> <name><sign>", 1) for v in ("<hex>", "<md5>", "<long>", "<long>", "<prefix><long>", "<capitals>", "<weak>", "<weak>", "<json>")),
+    ("<long>", "<path> <name><sign>", 1), ("<long>", "<said> <bearer>", 1), ("<prefix><long>", "<said> ", 1), ("<capitals>", "<said> <key>", 1), ("<json>", "<said> <session>", 1),
+    *((v, "<said> <harmless>", 0) for v in ("<hex>", "<md5>", "<hex>")),
+    *((v, "<said> ", 0) for v in ("<uuid>", "<slug>", "<snake>", "<camel>", "<digits>", "-" * 24, "<a>/<b>/<c>/<d>")),
+    ("<uuid>", "<said> <number>", 0), ("<digits>", "<said> <number>", 0),
+    *((v, "<said> <name><sign>", 0) for v in ("x" * 20, "your-api-key-here-<id>", "example_<long>", "changeme123", "<a>", "<snake>", "<slug>", "<call>", "required")),
+    ("<hex>", "in <quiet> the <name><sign>", 0), ("<long>", "in <quiet>: <name><sign>", 0),
+]
+
+
 def _examples(spark: SparkSession, n: int) -> DataFrame:
-    """doc_id, text, value, label: small documents with one candidate of each kind, by rule, the same each time."""
-    hexes, i = F.sha1(F.concat(F.lit("finding"), F.col("id")).cast("binary")), F.col("id")
-    drawn = F.translate(F.base64(F.unhex(F.concat(F.sha2(hexes, 256), F.sha2(F.concat(hexes, F.lit("b")), 256)))), "=+/", "aB3")
-    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.pmod(F.xxhash64("id", F.lit(len(x))), F.lit(len(x))) + 1).cast("int"))
-    word = lambda k: pick(*(_WORDS[k:] + _WORDS[:k]))
-    name = pick("token", "secret", "api_key", "password", "auth_token", "access-key", "client_secret", "TOKEN", "apikey", "db_password", "private_key", "credentials")
-    harmless = pick("commit", "sha1", "md5", "checksum", "revision", "digest", "etag", "hash", "trace", "build")
-    sign, said = pick(" = ", ": ", "=", ' = "', '="', ': "', " := "), F.concat_ws(" ", word(3), word(11), word(17))
-    uuid = F.concat_ws("-", *(F.substring(hexes, a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
-    long = drawn.substr(F.lit(1), 20 + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(44)).cast("int"))
-    prefix = F.concat(F.lower(F.regexp_replace(drawn.substr(F.lit(70), F.lit(4)), "[0-9]", "k")), pick("_", "-", "_live_", "_test_"))
-    capitals = F.upper(drawn.substr(F.lit(3), F.lit(20)))
-    weak = F.concat(F.initcap(word(5)), F.pmod(i, F.lit(977)).cast("string"), pick("!", "#", "$x", "%", "-9", "_Q"), drawn.substr(F.lit(9), 1 + F.pmod(i, F.lit(5)).cast("int")))
-    json = F.translate(F.base64(F.concat(F.lit('{"'), word(2), F.lit('":"'), drawn.substr(F.lit(1), F.lit(12)), F.lit('","'), word(8), F.lit('":'), i, F.lit("}")).cast("binary")), "=+/", "aB3")
-    path = F.concat(word(1), F.lit("/"), word(4), pick(".py", ".yaml", ".env", ".js"))
-    quiet = F.concat(pick("tests/", "src/tests/", "docs/", "examples/", "fixtures/"), word(4), pick(".py", ".yaml", ".md"))
-    slug = F.concat_ws("-", word(1), word(6), word(9), word(13))
-    snake, camel = F.concat_ws("_", word(2), word(7), word(10)), F.concat(word(2), F.initcap(word(7)), F.initcap(word(10)))
-    digits = F.lpad((i * 2654435761 % 10**16).cast("string"), 16, "4")
-    call = F.concat(pick("get_", "load_", "read_", "os.environ."), word(3))
-    #: value, text before it, text after it, label
-    kinds = [
-        *((v, F.concat(said, F.lit(" "), name, sign), word(1), 1) for v in (hexes, F.md5(hexes), long, long, F.concat(prefix, long), capitals, weak, weak, json)),
-        (long, F.concat(path, F.lit(" "), name, sign), word(1), 1),
-        (long, F.concat(said, pick(" Authorization: Bearer ", " Bearer ", " bearer:")), word(1), 1),
-        (F.concat(prefix, long), F.concat(said, F.lit(" ")), word(1), 1),
-        (capitals, F.concat(said, pick(" access_key_id = ", " aws_access_key=", " key id: ")), word(1), 1),
-        (json, F.concat(said, pick(" cookie: session=", " jwt ", " Authorization: ")), word(1), 1),
-        *((v, F.concat(said, F.lit(" "), harmless, pick(" ", ": ", "=", " = ")), word(1), 0) for v in (hexes, F.md5(hexes), hexes)),
-        *((v, F.concat(said, F.lit(" ")), said, 0) for v in (uuid, slug, snake, camel, digits, F.lit("-" * 24), F.lit("=" * 2), F.concat_ws("/", word(1), word(2), word(3), word(4)))),
-        (uuid, F.concat(said, pick(" id: ", " request=", " uuid ")), word(1), 0),
-        (digits, F.concat(said, pick(" phone: ", " number=", " id ")), word(1), 0),
-        *((v, F.concat(said, F.lit(" "), name, sign), word(1), 0) for v in (F.lit("x" * 20), F.concat(F.lit("your-api-key-here-"), i), F.concat(F.lit("example_"), drawn.substr(F.lit(1), F.lit(16))), F.lit("changeme123"), word(6), snake, slug, call, F.lit("required"))),
-        *((v, F.concat(F.lit("in "), quiet, pick(" the ", ": "), name, sign), word(1), 0) for v in (hexes, long)),
-    ]
-    out = None
-    for k, (value, before, after, label) in enumerate(kinds):
-        kind = F.struct(value.cast("string").alias("value"), before.alias("before"), after.alias("after"), F.lit(label).alias("label"))
-        out = F.when(F.lit(k) == i % len(kinds), kind) if out is None else out.when(F.lit(k) == i % len(kinds), kind)
-    rows = spark.range(0, n, 1, 2).select("id", out.alias("f")).select(F.col("id").alias("doc_id"), "f.*")
+    """doc_id, text, value, label: small documents with a candidate of each kind, by rule, the same each time."""
+    seed = F.concat(F.lit("finding"), F.col("id")).cast("binary")
+    words = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: F.element_at(F.split(F.lit(" ".join(_WORDS)), " "), (F.pmod(F.xxhash64("id", x), F.lit(len(_WORDS))) + 1).cast("int")))
+    drawn = F.translate(F.base64(F.unhex(F.concat(F.sha2(seed, 512), F.sha2(seed, 256)))), "=+/", "aB3")
+    rows = written(spark.range(0, n, 1, 2).select("id", F.sha1(seed).alias("hex"), F.md5(seed).alias("md5"), drawn.alias("drawn"), words.alias("w")), "drawn")
+    pick = lambda *x: F.element_at(F.split(F.lit("|".join(x)), "[|]"), (F.pmod(F.xxhash64("id", F.lit(x[0])), F.lit(len(x))) + 1).cast("int"))
+    w = lambda k: F.get("w", F.lit(k))
+    part = lambda a, k: F.substring("drawn", a, k)
+    drawn = {
+        "said": F.concat_ws(" ", w(0), w(1), w(2)), "a": w(3), "b": w(4), "c": w(5), "d": w(6), "id": F.col("id").cast("string"), "hex": F.col("hex"), "md5": F.col("md5"),
+        "long": F.col("drawn").substr(F.lit(1), 20 + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(44)).cast("int")),
+        "prefix": F.concat(F.lower(F.regexp_replace(part(70, 4), "[0-9]", "k")), pick("_", "-", "_live_", "_test_")),
+        "capitals": F.upper(part(3, 20)), "weak": F.concat(F.initcap(w(7)), F.pmod("id", F.lit(977)).cast("string"), pick("!", "#", "$x", "%", "-9", "_Q"), part(9, 4)),
+        "json": F.translate(F.base64(F.concat(F.lit('{"'), w(8), F.lit('":"'), part(1, 12), F.lit('","'), w(9), F.lit('":1}')).cast("binary")), "=+/", "aB3"),
+        "uuid": F.concat_ws("-", *(F.substring("hex", a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))),
+        "slug": F.concat_ws("-", w(3), w(4), w(5), w(6)), "snake": F.concat_ws("_", w(7), w(8), w(9)), "camel": F.concat(w(7), F.initcap(w(8)), F.initcap(w(9))),
+        "digits": F.lpad((F.col("id") * 2654435761 % 10**16).cast("string"), 16, "4"), "call": F.concat(pick("get_", "load_", "read_", "os.environ."), w(3)),
+        "path": F.concat(w(10), F.lit("/"), w(11), pick(".py", ".yaml", ".env", ".js")), "quiet": F.concat(pick("tests/", "src/tests/", "docs/", "examples/", "fixtures/"), w(11), pick(".py", ".yaml", ".md")),
+        "name": pick("token", "secret", "api_key", "password", "auth_token", "access-key", "client_secret", "TOKEN", "apikey", "db_password", "private_key", "credentials"),
+        "sign": pick(" = ", ": ", "=", ' = "', '="', ': "', " := "), "bearer": pick("Authorization: Bearer ", "Bearer ", "bearer:"), "key": pick("access_key_id = ", "aws_access_key=", "key id: "),
+        "session": pick("cookie: session=", "jwt ", "Authorization: "), "number": pick("id: ", "request=", "number: ", "phone="),
+        "harmless": pick("commit ", "sha1: ", "md5=", "checksum = ", "revision ", "digest: ", "etag=", "hash ", "trace: ", "build "),
+    }
+    line = F.split(F.element_at(F.split(F.lit("\n".join("\t".join(map(str, k)) for k in _KINDS)), "\n"), (F.pmod("id", F.lit(len(_KINDS))) + 1).cast("int")), "\t")
+    made = rows.select("id", line.alias("line"), F.map_from_arrays(F.array(*map(F.lit, drawn)), F.array(*drawn.values())).alias("drawn"))
+    fill = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit("<[a-z0-9]+>|[^<>]+"), F.lit(0)), lambda p: F.coalesce(F.try_element_at("drawn", F.regexp_extract(p, "^<(.*)>$", 1)), p)), "")
+    made = made.select(F.col("id").alias("doc_id"), fill(F.get("line", F.lit(0))).alias("value"), fill(F.get("line", F.lit(1))).alias("before"), F.get("line", F.lit(2)).cast("int").alias("label"))
     quote = F.when(F.col("before").rlike('"$'), '"').otherwise("")
-    return rows.select("doc_id", F.concat("before", "value", quote, F.lit(" "), "after").alias("text"), "value", "label")
+    return made.select("doc_id", F.concat("before", "value", quote, F.lit(" and more")).alias("text"), "value", "label")
 
 
 #: Words that the examples are made of.
@@ -126,10 +125,10 @@ _WORDS = [
 
 def seed_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     """Labelled findings made by rule, found in ``n`` small documents as the scan finds them."""
-    made = _examples(spark, n)
+    made = written(_examples(spark, n), "examples")
     words = spark.createDataFrame([(w,) for w in _WORDS], "word string")
     found = covered(candidates(made, path=None), words)
-    return found.join(made.select("doc_id", "value", "label"), "doc_id").where("candidate = value").select("doc_id", *FINDING, "covered", "label")
+    return written(found.join(made.select("doc_id", "value", "label"), "doc_id").where("candidate = value").select("doc_id", *FINDING, "covered", "label"), "findings")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
