@@ -351,6 +351,16 @@ def test_pushdown_reaches_the_scan(spark, sf):
     assert "GreaterThan(l_linenumber,3)" in plan and "ReadSchema: struct<l_linenumber:int,l_quantity:double,l_returnflag:string>" in plan
 
 
+def test_command_line_run(spark, sf, capsys):
+    from metricloom.__main__ import main
+
+    request = 'SEMANTIC {"metric_name": "total_lines", "filters": [{"dimension": "return_flag", "operator": "eq", "value": "R"}]}'
+    assert main(["run", request, "--models", str(catalogue.MODELS), "--tables", sf]) == 0 and "total_lines" in capsys.readouterr().out
+    assert main(["run", "SELECT count(*) AS n FROM region", "--tables", sf]) == 0 and "|5" in capsys.readouterr().out
+    assert main(["run", "BEGIN"]) == 0 and capsys.readouterr().out.strip() == "OK"
+    assert main(["run", "SEMANTIC {"]) == 1 and "BadRequestJson" in capsys.readouterr().err
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
