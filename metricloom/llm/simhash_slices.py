@@ -321,15 +321,15 @@ _EDGES = "u bigint, v bigint, bucket bigint"
 _SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("bucket", pa.int64())])
 
 
-def _told(groups: np.ndarray, nodes: np.ndarray, buckets: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
-    """Edges (u > v) of a forest, and for each row of a part of a large bucket (others have none, 0) that is not in one component
-    with the part's smallest node, which is the bucket's: node, null, bucket."""
+def _told(groups: np.ndarray, buckets: np.ndarray, large: np.ndarray, nodes: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
+    """Edges (u > v) of a forest, and for each row of a part of a large bucket that is not in one component with the part's
+    smallest node, which is the bucket's: node, null, bucket."""
     child = np.flatnonzero(parent != np.arange(len(parent)))
     a, b = nodes[child], nodes[parent[child]]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(groups)), bool), groups[1:] != groups[:-1])))
     size = np.diff(np.append(first, len(groups)))
     pivot = np.lexsort((nodes, groups))[first] if len(groups) else first  # groups stand in order
-    rest = np.flatnonzero((buckets != 0) & (parent != np.repeat(parent[pivot], size)))
+    rest = np.flatnonzero((large != 0) & (parent != np.repeat(parent[pivot], size)))
     u, v = np.concatenate((np.maximum(a, b), nodes[rest])), np.concatenate((np.minimum(a, b), np.zeros(len(rest), np.int64)))
     none = np.arange(len(u)) >= len(a)
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=none), pa.array(np.concatenate((np.zeros(len(a), np.int64), buckets[rest])), mask=~none)], schema=_SCHEMA)
@@ -338,7 +338,7 @@ def _told(groups: np.ndarray, nodes: np.ndarray, buckets: np.ndarray, parent: np
 def _spanned(keyed: DataFrame, compare: Compare, most_rows: int, most_size: int = 1 << 62) -> DataFrame:
     """Edges (u > v) that span the links inside each bucket of ``keyed`` (bucket, node, size: one row each).
 
-    ``compare`` gives what ``_told`` says of each group of (group, bucket, node). A bucket is a group; one of more than
+    ``compare`` gives what ``_told`` says of each group of (group, bucket, large, node). A bucket is a group; one of more than
     ``most_rows`` nodes or a greater size is dealt into parts, which all have its first node. Nodes in one component
     with the first are not compared again, the others are, with each part.
     """
@@ -350,8 +350,7 @@ def _spanned(keyed: DataFrame, compare: Compare, most_rows: int, most_size: int
     large = sizes.where("parts > 1")
     pivots = large.select("bucket", F.col("pivot").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
     dealt = rows.where("parts = 1 OR node != pivot").select("bucket", "node", part.alias("part"), "parts").unionByName(pivots)
-    told = F.when(F.col("parts") > 1, F.col("bucket")).otherwise(0).alias("bucket")
-    first = written(compare(dealt.select(F.xxhash64("bucket", "part").alias("group"), told, "node")), "edges")
+    first = written(compare(dealt.select(F.xxhash64("bucket", "part").alias("group"), "bucket", (F.col("parts") > 1).cast("bigint").alias("large"), "node")), "edges")
     edges = first.where("v IS NOT NULL").select("u", "v")
     rest = first.where("v IS NULL").select("bucket", F.col("u").alias("node")).distinct()
     left = rest.groupBy("bucket").agg(F.count("*").alias("n")).join(large.select("bucket", "count", "parts"), "bucket")
@@ -361,22 +360,22 @@ def _spanned(keyed: DataFrame, compare: Compare, most_rows: int, most_size: int
         lot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lots")).cast("int")
         across = every.select("bucket", "node", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
         along = some.select("bucket", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), lot.alias("lot"))
-        pairs = across.unionByName(along).select(F.xxhash64("bucket", "part", "lot", F.lit(2)).alias("group"), F.lit(0).cast("bigint").alias("bucket"), "node").distinct()
+        pairs = across.unionByName(along).select(F.xxhash64("bucket", "part", "lot", F.lit(2)).alias("group"), "bucket", F.lit(0).cast("bigint").alias("large"), "node").distinct()
         more = written(compare(pairs), "edges")
         edges = edges.union(more.select("u", "v"))
     return edges
 
 
 def _sliced(radius: int, lanes: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From rows (group, bucket, node, lanes of the fingerprint), sorted by group, what ``_told`` says of each group."""
+    """From rows (group, bucket, large, node, lanes of the fingerprint), sorted by group, what ``_told`` says of each group."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lot(rows: np.ndarray) -> pa.RecordBatch:
-            return _told(rows[:, 0], rows[:, 2], rows[:, 1], forest(rows[:, 0], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), radius))
+            return _told(*rows[:, :4].T, forest(rows[:, 0], np.ascontiguousarray(rows[:, 4:]).view(np.uint64), radius))
 
         held, size = [], 0
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy() for k in range(3 + len(lanes))], axis=1))
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(4 + len(lanes))], axis=1))
             size += len(held[-1])
             if size >= LOT:
                 rows = np.concatenate(held)
@@ -390,13 +389,18 @@ def _sliced(radius: int, lanes: list[str]) -> Callable[[Iterator[pa.RecordBatch]
     return compare
 
 
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """The least number of bit blocks by which a bucket has BUCKET_MEAN of ``n`` unrelated fingerprints at most."""
+    blocks = max(BLOCKS, radius + 2)
+    while blocks < MOST_BLOCKS and n >> (64 * (blocks - radius) // blocks) > BUCKET_MEAN:
+        blocks += 1
+    return blocks
+
+
 def near_edges(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Edges (u > v) between different fingerprints that span all links; ``prints`` has distinct values in column fp.
     ``blocks``: None for as many as their number asks for; any number above the radius gives the same components."""
-    if blocks is None:
-        n, blocks = prints.count(), max(BLOCKS, radius + 2)
-        while blocks < MOST_BLOCKS and n >> (64 * (blocks - radius) // blocks) > BUCKET_MEAN:
-            blocks += 1
+    blocks = blocks_for(prints.count(), radius) if blocks is None else blocks
     if not 0 <= radius < blocks <= 64:
         raise ValueError("blocks must exceed radius")
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -405,7 +409,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, blocks: int | None = Non
     keyed = prints.select(F.explode(F.array(*keys)).alias("bucket"), F.col("fp").alias("node"), F.lit(1).alias("size"))
 
     def compare(groups: DataFrame) -> DataFrame:
-        rows = groups.select("group", "bucket", "node", F.col("node").alias("fp")).repartition("group").sortWithinPartitions("group")
+        rows = groups.select("group", "bucket", "large", "node", F.col("node").alias("fp")).repartition("group").sortWithinPartitions("group")
         return rows.mapInArrow(_sliced(radius, ["fp"]), _EDGES)
 
     return _spanned(keyed, compare, bucket_rows)
@@ -418,7 +422,7 @@ def wide_edges(prints: DataFrame, radius: int = WIDE_RADIUS, bucket_rows: int =
     keyed = prints.select(F.explode("bands").alias("bucket"), "node", F.lit(1).alias("size"))
 
     def compare(groups: DataFrame) -> DataFrame:
-        rows = groups.join(prints.select("node", *lanes), "node").select("group", "bucket", "node", *lanes)
+        rows = groups.join(prints.select("node", *lanes), "node").select("group", "bucket", "large", "node", *lanes)
         return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_sliced(radius, lanes), _EDGES)
 
     return _spanned(keyed, compare, bucket_rows)
@@ -465,21 +469,22 @@ def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHING
         def lot() -> pa.RecordBatch:
             of = np.array(groups, np.int64)
             child, parent = (np.array(x, np.int64) for x in alike_forest(of, sets))
-            return _told(of, np.array(nodes, np.int64), np.array(buckets, np.int64), _join(np.arange(len(of)), child, parent))
+            return _told(of, *(np.array(x, np.int64) for x in (buckets, larges, nodes)), _join(np.arange(len(of)), child, parent))
 
-        groups, buckets, nodes, sets, held, there = [], [], [], [], 0, set()
+        groups, buckets, larges, nodes, sets, held, there = [], [], [], [], [], 0, set()
         for batch in batches:
-            for group, bucket, node, text in zip(*(batch.column(c).to_pylist() for c in ("group", "bucket", "node", "text"))):
+            for group, bucket, large, node, text in zip(*(batch.column(c).to_pylist() for c in ("group", "bucket", "large", "node", "text"))):
                 if groups and group != groups[-1]:
                     there = set()
                     if held > ALIKE_BYTES:
                         yield lot()
-                        groups, buckets, nodes, sets, held = [], [], [], [], 0
+                        groups, buckets, larges, nodes, sets, held = [], [], [], [], [], 0
                 if node in there:
                     continue
                 there.add(node)
                 groups.append(group)
                 buckets.append(bucket)
+                larges.append(large)
                 nodes.append(node)
                 sets.append(shingle_set(text, shingle))
                 held += sets[-1].nbytes
@@ -487,7 +492,7 @@ def alike_edges(texts: DataFrame, clusters: DataFrame, shingle: int = WIDE_SHING
             yield lot()
 
     def compare(groups: DataFrame) -> DataFrame:
-        found = groups.join(texts.select("node", "text"), "node").select("group", "bucket", "node", "text")
+        found = groups.join(texts.select("node", "text"), "node").select("group", "bucket", "large", "node", "text")
         return found.repartition("group").sortWithinPartitions("group").mapInArrow(compared, _EDGES)
 
     size = F.col("size") if "size" in clusters.columns else F.lit(1)

@@ -164,6 +164,48 @@ def test_exact_links_of_a_cluster_in_parts(spark):
         assert {r.node for r in got} == set(range(1, 9)) and {r.root for r in got} == {0}
 
 
+@pytest.mark.parametrize("shared, other", [(160, 20), (656, 72), (85, 7), (850, 75)])  # Jaccard 0.80, 0.82, 0.86, 0.85
+def test_candidates_by_similarity(shared, other):
+    rng = np.random.default_rng(shared)
+    draw = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    found = []
+    for _ in range(300):
+        both = draw(shared)
+        h, bounds = np.concatenate((both, draw(other), both, draw(other))), np.array([0, shared + other, 2 * (shared + other)])
+        keys, wide = S.bands(h, bounds), S._simhashes(h, bounds, S.LANES)
+        found.append((keys[0] == keys[1]).any() and np.bitwise_count(wide[0] ^ wide[1]).sum() <= S.WIDE_RADIUS)
+    assert np.mean(found) > 0.98
+
+
+def test_unrelated_texts_do_not_meet_more_often_the_more_there_are():
+    from math import comb
+
+    for n in (10**5, 10**6, 10**8, 10**10):
+        blocks = S.blocks_for(n)
+        pairs = comb(blocks, blocks - S.RADIUS) * n / 2 ** (64 * (blocks - S.RADIUS) // blocks) / 2
+        assert pairs < 300  # comparisons with unrelated fingerprints, a text
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 63, 2000 * 60, dtype=np.uint64)
+    keys = S.bands(h, np.arange(0, len(h) + 1, 60))
+    assert len(np.unique(keys)) == keys.size  # no two of 2,000 unrelated texts share a band
+
+
+def test_forest_of_a_large_group_in_spans(spark):
+    """A bucket far above its bound: parts with the first row, then what is left with each part."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    prints = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 3)).astype(np.uint64), axis=1) for b in base]))
+    rows = spark.createDataFrame([(0, int(x), 1) for x in prints.view(np.int64)], "bucket long, node long, size int")
+
+    def compare(groups):
+        return groups.selectExpr("group", "bucket", "large", "node", "node AS fp").repartition("group").sortWithinPartitions("group").mapInArrow(S._sliced(4, ["fp"]), S._EDGES)
+
+    want = _classes(prints)
+    got = {r.node: r.root for r in S.components(S._spanned(rows, compare, 40)).collect()}
+    classes = [got.get(int(x), int(x)) for x in prints.view(np.int64)]
+    assert len(set(classes)) == len(set(want)) == len(set(zip(classes, want))) > 1
+
+
 def test_wide_links_pairs_at_the_bound(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
