@@ -98,6 +98,10 @@ class Engine:
                 self.spark.catalog.dropTempView(v)
 
 
+#: Parsed nodes without children that plain SQL may have.
+_LEAVES = {"UnresolvedRelation", "OneRowRelation", "UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation", "UnresolvedTableValuedFunction"}
+
+
 def _relations(plan) -> tuple[list[list[str]], set[str]]:
     """Of a parsed plan the names of all relations, in subqueries too, and of the common table expressions."""
     named, inner, todo = [], set(), [plan]
@@ -107,12 +111,11 @@ def _relations(plan) -> tuple[list[list[str]], set[str]]:
         if kind == "UnresolvedRelation":
             parts = node.multipartIdentifier()
             named.append([parts.apply(k) for k in range(parts.size())])
-        elif "Identifier" in kind:  # a name that is computed later
+        below, children = node.innerChildren(), node.children()
+        if kind not in _LEAVES and (not children.size() or "Identifier" in kind):  # a table in another way, or a name that is computed later
             raise UnprotectedTable(kind)
-        below = node.innerChildren()
         more = [below.apply(k) for k in range(below.size())]
         if kind == "UnresolvedWith":
             inner |= {m.alias().lower() for m in more if m.getClass().getSimpleName() == "SubqueryAlias"}
-        children = node.children()
         todo += more + [children.apply(k) for k in range(children.size())]
     return named, inner

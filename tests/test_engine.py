@@ -208,6 +208,10 @@ def test_plain_sql_under_row_policies(spark):
         ("WITH customers AS (SELECT 7 AS customer_id) SELECT * FROM customers", [(7,)]),
         ("SELECT customer_id FROM customers UNION ALL (SELECT customer_id FROM customers) ORDER BY 1", [(1,), (1,), (2,), (2,)]),
         ("SELECT a FROM secrets", [(1,)]),
+        ("SELECT id FROM range(2)", [(0,), (1,)]),
+        ("SELECT x FROM VALUES (1), (2) AS t(x) WHERE x > (SELECT min(customer_id) FROM customers)", [(2,)]),
+        ("SELECT c.customer_id, t.x FROM customers c LATERAL VIEW explode(array(5)) t AS x", [(1, 5), (2, 5)]),
+        ("SELECT customer_id, row_number() OVER w AS k FROM customers WINDOW w AS (ORDER BY customer_id)", [(1, 1), (2, 2)]),
     ):
         assert rows(e.execute(query, claims)) == want, query
     assert rows(e.execute("SELECT customer_id FROM customers", {})) == []
@@ -215,7 +219,7 @@ def test_plain_sql_under_row_policies(spark):
     spark.range(3).createOrReplaceTempView("elsewhere")
     for query in (
         "SELECT * FROM elsewhere", "SELECT * FROM default.customers", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM gone", "SELECT * FROM IDENTIFIER('customers')",
-        "WITH elsewhere AS (SELECT 1) SELECT * FROM elsewhere",
+        "WITH elsewhere AS (SELECT 1) SELECT * FROM elsewhere", "SELECT * FROM customers VERSION AS OF 1", "SELECT * FROM elsewhere TIMESTAMP AS OF '2024-01-01'",
     ):
         with pytest.raises(E.UnprotectedTable) as refused:
             e.execute(query, claims)
