@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, written
+from .common import forget, join_hot, written
 
 RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 WORD_GAP = r"[ \t\n\x0B\f\r]+"
@@ -128,7 +128,9 @@ def seed_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     made = written(_examples(spark, n), "examples")
     words = spark.createDataFrame([(w,) for w in _WORDS], "word string")
     found = covered(candidates(made, path=None), words)
-    return written(found.join(made.select("doc_id", "value", "label"), "doc_id").where("candidate = value").select("doc_id", *FINDING, "covered", "label"), "findings")
+    out = written(found.join(made.select("doc_id", "value", "label"), "doc_id").where("candidate = value").select("doc_id", *FINDING, "covered", "label"), "findings")
+    forget(made)
+    return out
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, platt, quoted, small_batches, written
+from .common import forget, join_hot, platt, quoted, small_batches, written
 
 ORDERS = 5  # contexts of 0 to 4 characters
 SYMBOLS = 64
@@ -223,6 +223,7 @@ def train(urls: DataFrame) -> UrlModel:
         other = UrlModel(None, None, cells.select("cell", F.col("accepted_learnt").alias("accepted"), F.col("rejected_learnt").alias("rejected")))
     scored = other.differences(each.where("aside"), "address", "x")
     bins = scored.groupBy(F.least(F.greatest(F.round(F.col("x") / BIN), F.lit(-BINS // 2)), F.lit(BINS // 2)).alias("bin")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    forget(each, *([cells] if model.table is None else []))
     x, good, bad = (bins[c].to_numpy().astype(np.float64) for c in ("bin", "good", "bad"))
     if good.sum() and bad.sum():
         slope, offset = platt(np.tile(x * BIN, 2), np.repeat([0.0, 1.0], len(x)), np.concatenate((good, bad)))
