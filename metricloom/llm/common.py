@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -119,8 +121,9 @@ def flat_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw) + b"\n", np.uint8) if raw else np.zeros(0, np.uint8), starts
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[ord(c) for c in WORD_SPACE]] = True
+#: Whether a byte is such white space.
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[ord(c) for c in WORD_SPACE]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -132,13 +135,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each maximal run of bytes that are not white space."""
-    word = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
-    return edge[::2], edge[1::2]
-
-
 #: Bytes of a span that are hashed eight at a time for all spans at once; longer ones go to XXH64 one by one.
 _SHORT = 512
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -192,6 +188,13 @@ def sampled_labels(
     return bounded.select("doc_id", "text", "label").repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
+def release() -> None:
+    """Gives the memory that a fit has freed back to the system, where the allocator can: the driver lives on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 

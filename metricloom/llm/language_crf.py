@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, flat_bytes, small_batches, span_hashes, texts_of
+from .common import Adam, flat_bytes, release, small_batches, span_hashes, texts_of
 
 BITS = 17
 AFFIXES = (1, 2, 3)
@@ -320,7 +320,10 @@ def train(docs: DataFrame, where: Column | None = None, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["h", "text", "lang"])
 
     got = keyed.select("h", "text", "lang").mapInArrow(stretches, "h bigint, text string, lang string").orderBy("h", "text", "lang").limit(most * STRETCHES).toArrow()
-    return fit(got["text"].to_pylist(), got["lang"].to_pylist())
+    model = fit(got["text"].to_pylist(), got["lang"].to_pylist())
+    del got
+    release()
+    return model
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, WORD_SPACE, flat_bytes, lbfgs, mix64, platt, sampled_labels, sigmoid, small_batches, texts_of
+from .common import IS_SPACE, WORD_SPACE, flat_bytes, lbfgs, mix64, platt, release, sampled_labels, sigmoid, small_batches, texts_of
 
 BITS = 16
 MOST_LABELLED = 2500
@@ -116,7 +116,7 @@ class Lot:
     def counts(self, texts: list[str]) -> dict[str, np.ndarray]:
         first = (self.data & 0xC0) != 0x80
         per = lambda mask: np.add.reduceat(np.append(mask, False).astype(np.int64), self.starts[:-1]) if len(texts) else np.zeros(0, np.int64)
-        return {"n_words": self.n_words, "word_chars": per(first & ~_SPACE[self.data]), "n_symbols": per(_SYMBOL[self.data]), "n_dup_lines": np.array([_dup_lines(t) for t in texts], np.int64), "n_repeat_words": self.repeated()}
+        return {"n_words": self.n_words, "word_chars": per(first & ~IS_SPACE[self.data]), "n_symbols": per(_SYMBOL[self.data]), "n_dup_lines": np.array([_dup_lines(t) for t in texts], np.int64), "n_repeat_words": self.repeated()}
 
 
 def _dup_lines(text: str) -> int:
@@ -200,7 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
         cuts = np.cumsum(np.frombuffer(s, "<i4"))[:-1]
         made.append((np.split(np.frombuffer(b, "<u2"), cuts), np.split(np.frombuffer(v, "<f4"), cuts)))
     y = (got["label"].to_numpy() > 0).astype(int) if got.num_rows else np.zeros(0, int)
-    return fit(made, y, np.arange(len(made)) % 5 == 4)
+    model = fit(made, y, np.arange(len(made)) % 5 == 4)
+    del got, made
+    release()
+    return model
 
 
 def quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:

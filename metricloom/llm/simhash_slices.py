@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, flat_bytes, forget, fresh, join_hot, mix64, quoted, small_batches, written
+from .common import IS_SPACE, flat_bytes, forget, fresh, join_hot, mix64, quoted, small_batches, written
 from .xxh64 import xxh64
 
 RADIUS = 4
@@ -68,18 +68,16 @@ BROADCAST_ROWS = 1 << 20
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[ord(c) for c in WORD_SPACE]] = True
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
-_PLAIN[_SPACE] = 32
+_PLAIN[IS_SPACE] = 32
 
 
 def _shingle_hashes(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 with SEED of each word shingle of whole texts, A-Z in lower case, words a space apart, and where each text's
     begin (one entry more). Fewer words are one shingle."""
     data, bounds = flat_bytes([t or "" for t in texts])
-    space = _SPACE[data]
+    space = IS_SPACE[data]
     kept = ~space
     kept[1:] |= kept[:-1]  # of each run of white space the first
     place = np.cumsum(kept)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, flat_bytes, sampled_labels, sigmoid, small_batches, span_hashes, texts_of
+from .common import Adam, flat_bytes, release, sampled_labels, sigmoid, small_batches, span_hashes, texts_of
 
 BITS = 18
 #: Labelled documents that the model is fitted on, at most.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     made = [(np.frombuffer(w, "<i4"), np.frombuffer(s, "<i4")) for w, s in zip(rows["words"].to_pylist(), rows["sentences"].to_pylist())]
     model = fit(made, (rows["label"].to_numpy() > 0).astype(int) if rows.num_rows else np.zeros(0, int))
     del rows, made
-    pa.default_memory_pool().release_unused()
+    release()
     return model
 
 
