@@ -10,6 +10,9 @@ operations; the forest is Spark's own.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -151,7 +154,11 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
         value = F.regexp_extract(F.concat_ws(" ", at(i - 2), at(i - 1), w), ASSIGNED, 3)
         return F.struct(i.alias("word_no"), w.alias("word"), at(i - 2).alias("before2"), at(i - 1).alias("before1"), at(i + 1).alias("after"), value.alias("value"))
 
-    numbered = F.transform("w", lambda w, i: F.when((F.length(w) >= 16) | F.concat_ws(" ", at(i - 2), at(i - 1), w).rlike(ASSIGNED), finding(w, i)))
+    def assigned(w: Column, i: Column) -> Column:
+        sign = [f(c) for c in ("=", ":", ">") for f in (w.contains, at(i - 1).endswith)]  # without one the pattern can't fit
+        return reduce(or_, sign) & F.concat_ws(" ", at(i - 2), at(i - 1), w).rlike(ASSIGNED)
+
+    numbered = F.transform("w", lambda w, i: F.when(((F.length(w) >= 16) & w.rlike(RUN)) | assigned(w, i), finding(w, i)))
     found = rows.select("doc_id", "source", "w", F.explode(F.filter(numbered, lambda x: x.isNotNull())).alias("f")).select("doc_id", "source", "w", "f.*")
     runs = F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)
     each = F.when(F.col("value") == "", runs).otherwise(F.concat(F.array("value"), F.filter(runs, lambda r: F.instr(F.col("value"), r) == 0)))
